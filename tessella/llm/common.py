@@ -59,3 +59,11 @@ def as_bytes(column: str | Column) -> Column:
     """UTF-8 bytes of a text; null becomes empty."""
     c = F.col(column) if isinstance(column, str) else column
     return F.coalesce(c, F.lit("")).cast("binary")
+
+
+def fresh_name(df: DataFrame, base: str) -> str:
+    """A column name that no column of the frame clashes with, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
