@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import chat, decontam, exact_dedup, langid, warc
+from tessella.llm import chat, decontam, exact_dedup, langid, mixing, simhash, warc
 from tessella.llm.common import read, shared_dir
 
 
@@ -59,9 +59,25 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.group_exact(read(spark, sf_dir, "documents"))
 
 
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_benchmark_decontamination, op3_warc_archive, op5_exact_dedup, op6_chat_format)
+    for f in (
+        op1_language_id,
+        op2_benchmark_decontamination,
+        op3_warc_archive,
+        op5_exact_dedup,
+        op6_chat_format,
+        op7_simhash_near_dedup,
+        op9_source_mixing,
+    )
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -101,4 +117,30 @@ SQL: dict[str, str] = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(length(role) + length(body) + length('<turn role="') + length('">') + length('</turn>') + 2) AS BIGINT) AS formatted_chars
         FROM e GROUP BY conv_id""",
+    "op9_source_mixing": r"""
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                          md5('mix-1/' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS place FROM documents),
+        s0 AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nth FROM d GROUP BY source),
+        s1 AS (SELECT *, ([3, 1, 2])[nth % 3 + 1]::DOUBLE AS weight, (sum(source_size) OVER ())::DOUBLE * 1.5e0 AS total, source_size * 2.0e0 AS bound FROM s0),
+        s2 AS (SELECT *, total - coalesce(sum(bound) OVER (ORDER BY source_size / weight, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS remains,
+                      sum(weight) OVER (ORDER BY source_size / weight, nth ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights FROM s1),
+        s3 AS (SELECT *, remains * weight >= bound * weights AS is_full FROM s2),
+        s4 AS (SELECT *, CASE WHEN is_full THEN bound ELSE (total - sum(CASE WHEN is_full THEN bound ELSE 0e0 END) OVER ()) * weight
+                              / sum(CASE WHEN is_full THEN 0e0 ELSE weight END) OVER () END AS target FROM s3),
+        s5 AS (SELECT *, greatest(1, source_size // 4096) AS block FROM s4),
+        s6 AS (SELECT *, CAST(ceil(source_size / block) AS BIGINT) AS n_blocks, CAST(floor(target / block + 0.5e0) AS BIGINT) AS slots FROM s5),
+        s7 AS (SELECT *, CAST(coalesce(sum(slots) OVER (ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS low FROM s6),
+        n AS (SELECT CAST(sum(slots) AS BIGINT) AS n FROM s7),
+        slots AS (SELECT slot, CAST((slot % 2147483648 * 1327217885 % 2147483648)::HUGEINT * n // 2147483648 AS BIGINT) AS point
+                  FROM (SELECT unnest(range(n)) AS slot, n FROM n)),
+        ranked AS (SELECT nth, n_blocks, row_number() OVER (PARTITION BY nth ORDER BY slot) - 1 AS rank
+                   FROM slots JOIN s7 ON point >= low AND point < low + slots),
+        uses AS (SELECT nth, rank % n_blocks AS block_no, count(*) AS uses FROM ranked WHERE rank // n_blocks < 2 GROUP BY ALL),
+        lines AS (SELECT doc_id, size, nth, source_size, target, block, row_number() OVER () AS k,
+                         CAST(coalesce(sum(size) OVER (PARTITION BY nth ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begins
+                  FROM d JOIN s7 ON d.source IS NOT DISTINCT FROM s7.source),
+        parts AS (SELECT *, unnest(range(begins // block, (begins + size - 1) // block + 1)) AS block_no FROM lines WHERE size > 0),
+        got AS (SELECT k, CAST(sum((least(begins + size, (block_no + 1) * block) - greatest(begins, block_no * block)) * coalesce(uses, 0)) AS BIGINT) AS taken
+                FROM parts LEFT JOIN uses USING (nth, block_no) GROUP BY k)
+        SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM lines LEFT JOIN got USING (k)""",
 }
