@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import chat, decontam, exact_dedup, langid, mixing, simhash, warc
+from tessella.llm import chat, decontam, exact_dedup, langid, mixing, simhash, tokens, warc
 from tessella.llm.common import read, shared_dir
 
 
@@ -67,6 +67,10 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_documents(read(spark, sf_dir, "documents"), shared_dir(spark), tokenizer_path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_chat_format,
         op7_simhash_near_dedup,
         op9_source_mixing,
+        op10_token_ids,
     )
 }
 
