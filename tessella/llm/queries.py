@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import chat, decontam, exact_dedup, langid, mixing, simhash, tokens, warc
+from tessella.llm import chat, decontam, exact_dedup, langid, mixing, simhash, substring, tokens, warc
 from tessella.llm.common import read, shared_dir
 
 
@@ -63,6 +63,11 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.remove_repeats(read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_exact_dedup,
         op6_chat_format,
         op7_simhash_near_dedup,
+        op8_substring_dedup,
         op9_source_mixing,
         op10_token_ids,
     )
@@ -148,4 +154,14 @@ SQL: dict[str, str] = {
         got AS (SELECT k, CAST(sum((least(begins + size, (block_no + 1) * block) - greatest(begins, block_no * block)) * coalesce(uses, 0)) AS BIGINT) AS taken
                 FROM parts LEFT JOIN uses USING (nth, block_no) GROUP BY k)
         SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM lines LEFT JOIN got USING (k)""",
+    "op8_substring_dedup": r"""
+        WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT k, i, md5(array_to_string(w[i:i + 34], ' ')) AS s FROM (SELECT k, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+        r AS (SELECT k, i FROM s JOIN (SELECT s FROM s GROUP BY s HAVING count(*) > 1) USING (s)),
+        gone AS (SELECT k, list(DISTINCT p) AS gone FROM (SELECT k, unnest(range(i, i + 35)) AS p FROM r) GROUP BY k),
+        kept AS (SELECT k, string_agg(word, ' ' ORDER BY p) AS kept
+                 FROM (SELECT k, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d WHERE len(w) > 0)
+                 WHERE (k, p) NOT IN (SELECT k, unnest(gone) FROM gone) GROUP BY k)
+        SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN gone USING (k) LEFT JOIN kept USING (k)""",
 }
