@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import chat, decontam, exact_dedup, langid, mixing, simhash, substring, tokens, warc
+from tessella.llm import chat, decontam, exact_dedup, langid, licences, mixing, simhash, substring, tokens, warc
 from tessella.llm.common import read, shared_dir
 
 
@@ -55,6 +55,16 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(spark, path)
 
 
+def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan_licences(read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.size("sentences").cast("long").alias("n_sentences"),
+        F.size("licences").cast("long").alias("n_licences"),
+        F.array_join(F.array_sort(F.array_distinct("licences")), ",").alias("licences"),
+    )
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.group_exact(read(spark, sf_dir, "documents"))
 
@@ -82,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_language_id,
         op2_benchmark_decontamination,
         op3_warc_archive,
+        op4_licence_scan,
         op5_exact_dedup,
         op6_chat_format,
         op7_simhash_near_dedup,
