@@ -168,3 +168,33 @@ def find_contamination(
     return out.select(
         F.col("id").alias(id_col), "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated")
     )
+
+
+def _is_hit(shared):
+    @F.arrow_udf("boolean")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tables = _tables(shared.value)
+        for texts in batches:
+            hits = []
+            for text in texts:
+                words = words_of(text.as_py())
+                hits.append(bool(words) and any(next(t.occurrences(words), None) for t in tables))
+            yield pa.array(hits, pa.bool_())
+
+    return run
+
+
+def drop_contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    window: int = WINDOW,
+    slab_bytes: int = SLAB_BYTES,
+) -> DataFrame:
+    """The documents without any occurrence of a test string, with all columns."""
+    context = docs.sparkSession.sparkContext
+    for slab in _slabs(benchmark, item_col, item_text_col, slab_bytes):
+        docs = docs.where(~_is_hit(context.broadcast(item_windows(slab, window)))(as_bytes(text_col)))
+    return docs

@@ -156,3 +156,16 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     profiles = fit(docs.where(~held_out(id_col)).select(id_col, text_col, lang_col), text_col, lang_col, **fit_args)
     found = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), language_of(profiles, text_col).alias("found"))
     return found.select(id_col, "held_out", "found.lang_pred", "found.score")
+
+
+#: Documents that are less like their closest language are rejected; running text of a fitted language is above 0.4.
+LEAST_SCORE = 0.25
+
+
+def keep_identified(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_score: float = LEAST_SCORE, **fit_args: int
+) -> DataFrame:
+    """The documents whose language is identified with `least_score` or more, with all columns; fitted on their own labels outside the fold."""
+    profiles = fit(docs.where(~held_out(id_col)).select(id_col, text_col, lang_col), text_col, lang_col, **fit_args)
+    found = language_of(profiles, text_col)
+    return docs.where((found["lang_pred"] != UNDETERMINED) & (found["score"] >= least_score))
