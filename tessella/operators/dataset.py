@@ -42,6 +42,11 @@ def nonzero_ratio(px: Column) -> Column:
     return F.size(F.filter(px, lambda p: p != 0)) / F.size(px)
 
 
+def around(c: Column, places: int) -> Column:
+    """Half-even rounding of the scaled value; what binary fractions add beyond six places is cut first."""
+    return F.rint(F.round(c, 6) * float(10**places)) / float(10**places)
+
+
 def annotate(windows: DataFrame, features: DataFrame, wbox: list[str], fbox: list[str], cell: float, least: float = LEAST_COVER) -> DataFrame:
     """Window and feature pairs with the clipped box in window pixels, its area and bbox; y runs down from the window's top.
 
@@ -54,10 +59,10 @@ def annotate(windows: DataFrame, features: DataFrame, wbox: list[str], fbox: lis
     part = box_area([F.col("_x0"), F.col("_y0"), F.col("_x1"), F.col("_y1")])
     whole = (f[0] >= w[0]) & (f[2] <= w[2]) & (f[1] >= w[1]) & (f[3] <= w[3])
     pairs = pairs.withColumn("_part", part).where(whole | (F.col("_part") / F.col("_all") > least))
-    corner = {c: F.greatest(F.bround(F.col(c), 1), F.lit(0.0)) for c in ("_x0", "_y0", "_x1", "_y1")}
+    corner = {c: F.greatest(around(F.col(c), 1), F.lit(0.0)) for c in ("_x0", "_y0", "_x1", "_y1")}
     return pairs.withColumns(
         {
-            "area": F.bround("_part", 2),
+            "area": around(F.col("_part"), 2),
             "bbox_x": corner["_x0"],
             "bbox_y": corner["_y0"],
             "bbox_w": corner["_x1"] - corner["_x0"],

@@ -136,7 +136,7 @@ def coco_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     cats = coco_categories(spark, sf_dir).select(F.col("id").alias("category_id"), F.col("name").alias("cls"))
     numbered = dataset.number_rows(_annotated(spark, sf_dir), ["win_no", "fid"], "id")
     return numbered.join(F.broadcast(cats), "cls").select(  # a row for each class
-        "id", "win_no", "fid", "category_id", "area", *[F.bround(c, 1).alias(c) for c in ("bbox_x", "bbox_y", "bbox_w", "bbox_h")], F.lit(0).alias("iscrowd")
+        "id", "win_no", "fid", "category_id", "area", *[dataset.around(F.col(c), 1).alias(c) for c in ("bbox_x", "bbox_y", "bbox_w", "bbox_h")], F.lit(0).alias("iscrowd")
     )
 
 
@@ -276,9 +276,9 @@ SQL = {
     "coco_images": query("SELECT row_number() OVER (ORDER BY win_no) AS id, win_no, 'image_' || win_no || '.tif' AS file_name, 100 AS height, 100 AS width FROM (SELECT DISTINCT win_no FROM marks)", WINDOWS, _RECTS, FEATURES, _MARKS),
     "coco_categories": query("SELECT id, name FROM cats", FEATURES, _CATS),
     "coco_annotations": query(
-        """SELECT row_number() OVER (ORDER BY win_no, fid) AS id, win_no, fid, (SELECT id FROM cats WHERE name = cls) AS category_id, round_even(part, 2) AS area,
-        bx0 AS bbox_x, by0 AS bbox_y, round_even(bx1 - bx0, 1) AS bbox_w, round_even(by1 - by0, 1) AS bbox_h, 0 AS iscrowd
-        FROM (SELECT *, greatest(round_even(x0, 1), 0e0) AS bx0, greatest(round_even(y0, 1), 0e0) AS by0, greatest(round_even(x1, 1), 0e0) AS bx1, greatest(round_even(y1, 1), 0e0) AS by1 FROM marks)""",
+        """SELECT row_number() OVER (ORDER BY win_no, fid) AS id, win_no, fid, (SELECT id FROM cats WHERE name = cls) AS category_id, round_even(round(part, 6) * 100e0, 0) / 100e0 AS area,
+        bx0 AS bbox_x, by0 AS bbox_y, round_even(round(bx1 - bx0, 6) * 10e0, 0) / 10e0 AS bbox_w, round_even(round(by1 - by0, 6) * 10e0, 0) / 10e0 AS bbox_h, 0 AS iscrowd
+        FROM (SELECT *, greatest(round_even(round(x0, 6) * 10e0, 0) / 10e0, 0e0) AS bx0, greatest(round_even(round(y0, 6) * 10e0, 0) / 10e0, 0e0) AS by0, greatest(round_even(round(x1, 6) * 10e0, 0) / 10e0, 0e0) AS bx1, greatest(round_even(round(y1, 6) * 10e0, 0) / 10e0, 0e0) AS by1 FROM marks)""",
         WINDOWS, _RECTS, FEATURES, _MARKS, _CATS),
     "manifest_csv_2col": query("SELECT vec_id, 'images/chip_' || vec_id || '.tif,labels/chip_' || vec_id || '.tif' AS line FROM ratios WHERE ratio >= 0.5e0", PIXELS, _RATIO),
     "change_pairs": query("SELECT b.vec_id // 2 AS win, b.vec_id AS before_id, a.vec_id AS after_id FROM ratios b JOIN ratios a ON b.vec_id % 2 = 0 AND a.vec_id = b.vec_id + 1 WHERE b.ratio >= 0.5e0 AND a.most <> 0", PIXELS, _RATIO),
