@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def parse_pairs(text: Column, between: str = ",", inside: str = "=") -> Column:
     """map of `a=1, b=2`: parts are trimmed, and cut at the first separator."""
-    parts = F.filter(F.transform(F.split(text, between), F.trim), lambda p: p.contains(inside))
+    parts = F.filter(F.transform(F.split(text, between), lambda p: F.trim(p)), lambda p: p.contains(inside))
     entries = F.transform(
         parts,
         lambda p: F.struct(F.trim(F.substring_index(p, inside, 1)).alias("k"), F.trim(F.substr(p, F.instr(p, inside) + 1)).alias("v")),

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessella.plans import clustering, rasters, sampling
+from tessella.plans import clustering, rasters, sampling, tasks, training
 
-MODULES = (sampling, rasters, clustering)
+MODULES = (sampling, rasters, clustering, training, tasks)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in m.SQL.items()}
