@@ -103,3 +103,10 @@ def box_ring(box: Sequence[Number]) -> Column:
     x0, y0, x1, y1 = map(lit, box)
     corners = ((x0, y1), (x1, y1), (x1, y0), (x0, y0))
     return F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in corners])
+
+
+def turn_back(cx: Number, cy: Number, x: Number, y: Number, angle: Number) -> tuple[Column, Column]:
+    """A point turned by minus the angle about a centre."""
+    cos, sin = F.cos(F.radians(lit(angle))), F.sin(F.radians(lit(angle)))
+    dx, dy = lit(x) - lit(cx), lit(y) - lit(cy)
+    return dx * cos + dy * sin + lit(cx), dy * cos - dx * sin + lit(cy)

@@ -52,3 +52,15 @@ def database_uri(kind: str, **part: str) -> str:
     if kind == "sqlite":
         return "sqlite:///{path}".format(**part)
     raise ValueError(f"no database of kind {kind}")
+
+
+def address(host: Column, port: Column, https: Column) -> Column:
+    """host:port with the scheme's usual port where none is given."""
+    usual = F.when(https, F.lit("443")).otherwise(F.lit("80"))
+    return F.concat(F.lower(host), F.lit(":"), F.coalesce(F.nullif(port.cast("string"), F.lit("")), usual))
+
+
+def scores_of_line(line: Column) -> tuple[Column, Column]:
+    """precision and recall of a log line, null where it has none."""
+    number = lambda name: F.regexp_extract(line, rf"{name}: ([0-9.]+)", 1).try_cast("double")
+    return number("precision"), number("recall")

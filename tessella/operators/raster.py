@@ -5,7 +5,7 @@ A chip is row-major, `px[row * width + col]`; several bands follow one another.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -166,3 +166,60 @@ def mosaic(tiles: DataFrame, key: list[str], tile: int = 256) -> DataFrame:
             "width": (last_c - first_c + 1) * tile,
         }
     )
+
+
+def ring_mask(ring: Column, height: int, width: int) -> Column:
+    """Mask of a ring in pixel coordinates (y down): 1 where a pixel's centre is inside by the even-odd rule."""
+
+    @F.pandas_udf("array<int>")
+    def run(rings: pd.Series) -> pd.Series:
+        y, x = np.mgrid[0:height, 0:width] + 0.5
+        out = []
+        for points in rings:
+            inside = np.zeros((height, width), dtype=bool)
+            for i, p in enumerate(points):
+                q = points[i - 1]
+                if p["y"] != q["y"]:
+                    crossed = (p["y"] > y) != (q["y"] > y)
+                    inside ^= crossed & (x < (q["x"] - p["x"]) * (y - p["y"]) / (q["y"] - p["y"]) + p["x"])
+            out.append(inside.astype(np.int32).ravel())
+        return pd.Series(out)
+
+    return run(ring)
+
+
+def column_major(px: Column, height: int, width: int) -> Column:
+    """Pixels column by column, the order of annotation run lengths."""
+    index = F.array(*[F.lit(r * width + c) for c in range(width) for r in range(height)])
+    return F.transform(index, lambda i: F.element_at(px, i + 1))
+
+
+def mosaic_strips(tiles: DataFrame, key: list[str], px: str, tile: int = 256) -> DataFrame:
+    """Tiles put together to strips, one for each row of tiles: key, row, width, px (row-major); missing tiles are 0.
+
+    A strip is the largest piece of a mosaic that is held at once.
+    """
+    laid = mosaic(tiles, key, tile)
+    grouped = laid.groupBy(*key, "row", "width").agg(F.sort_array(F.collect_list(F.struct("off_x", px))).alias("_t"))
+
+    @F.pandas_udf("array<int>")
+    def run(parts: pd.Series, widths: pd.Series) -> pd.Series:
+        out = []
+        for row, width in zip(parts, widths):
+            strip = np.zeros((tile, int(width)), dtype=np.int32)
+            for part in row:
+                strip[:, part["off_x"] : part["off_x"] + tile] = np.asarray(part[px]).reshape(tile, tile)
+            out.append(strip.ravel())
+        return pd.Series(out)
+
+    return grouped.select(*key, "row", "width", run("_t", "width").alias(px))
+
+
+def vectorise(df: DataFrame, column: str, vector: Callable[[np.ndarray], np.ndarray], name: str = "v") -> DataFrame:
+    """Vectors of a plug-in, a function from an array to a vector, beside the rows they come from."""
+
+    @F.pandas_udf("array<double>")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda a: np.asarray(vector(np.asarray(a)), dtype=float))
+
+    return df.withColumn(name, run(column))

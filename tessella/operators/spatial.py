@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,3 +65,13 @@ def class_codes(features: DataFrame, field: str, codes: dict[str, int]) -> DataF
     """Features with the code of their class, 0 for classes that are not listed."""
     table = F.create_map(*[F.lit(v) for pair in codes.items() for v in pair])
     return features.withColumn("code", F.coalesce(F.element_at(table, F.col(field)), F.lit(0)))
+
+
+def where_true(df: DataFrame, predicate: Callable[..., object], columns: list[str]) -> DataFrame:
+    """Rows for which a Python predicate gives exactly True; a column expression is better where one can be written."""
+
+    @F.udf("boolean")
+    def run(*values: object) -> bool:
+        return predicate(*values) is True
+
+    return df.where(run(*columns))

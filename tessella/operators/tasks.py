@@ -97,3 +97,10 @@ def download_urls(params: Column, base: Column, drop: str = "file_list") -> Colu
     """Output parameters with each path as an address below base; the key `drop` goes."""
     kept = F.map_filter(params, lambda k, v: k != drop)
     return F.transform_values(kept, lambda k, v: F.concat(base, F.lit("/"), F.element_at(F.split(v, "/"), -1)))
+
+
+def new_tasks(requests: DataFrame, last_id: int, now: Column, order: str) -> DataFrame:
+    """Rows of the task table for requests (tasktype, inputparams), waiting, with ids after the last."""
+    from tessella.operators.dataset import number_rows
+
+    return number_rows(requests, [order], "id", first=last_id + 1).withColumns({"status": F.lit(WAITING), "progress": F.lit(0), "createtime": now})
