@@ -104,6 +104,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+def _licence_sql() -> str:
+    known = ", ".join(f"({i}, '{text}')" for i, text in licences.SENTENCES.items())
+    rules = ", ".join(f"('{name}', {list(ids)})" for name, ids in licences.RULES)
+    norm = f"trim(regexp_replace({_LOWER.replace('coalesce(text, ' + chr(39) * 2 + ')', 'piece')}, '[^a-z0-9.+-]+', ' ', 'g'), ' .')"
+    return rf"""
+        WITH RECURSIVE known(id, s) AS (VALUES {known}), rules(name, ids) AS (VALUES {rules}),
+        d AS (SELECT row_number() OVER () AS k, doc_id,
+                     string_split_regex(regexp_replace(coalesce(text, ''), '([.!?;])[\t\x0B\f\r ]+', '\1' || chr(10), 'g'), '\n+') AS raw FROM documents),
+        pieces AS (SELECT k, unnest(raw) AS piece, unnest(range(len(raw))) AS i FROM (SELECT k, list_filter(raw, lambda x: x <> '') AS raw FROM d)),
+        normed AS (SELECT k, i, right(piece, 1) IN ('.', '!', '?', ';') AS ended, CASE WHEN t = 'copyright' OR starts_with(t, 'copyright ') THEN 'copyright' ELSE t END AS t
+                   FROM (SELECT *, {norm} AS t FROM pieces)),
+        grown AS (SELECT n.k, n.i, 1 AS size, n.ended, n.t, known.id
+                  FROM normed n LEFT JOIN known ON s = t OR s = regexp_replace(t, '^(([0-9]+\.?|[*-]|[a-z]\.) )+', '')
+                  UNION ALL
+                  SELECT g.k, g.i, g.size + 1, n.ended, trim(g.t || ' ' || n.t), known.id
+                  FROM grown g JOIN normed n ON n.k = g.k AND n.i = g.i + g.size
+                  LEFT JOIN known ON s = trim(g.t || ' ' || n.t) OR s = regexp_replace(trim(g.t || ' ' || n.t), '^(([0-9]+\.?|[*-]|[a-z]\.) )+', '')
+                  WHERE g.id IS NULL AND NOT g.ended AND length(g.t) < {licences._LONGEST} AND g.size < 16),
+        hits AS (SELECT k, i, size, id FROM grown WHERE id IS NOT NULL),
+        chain AS (SELECT k, i + size AS reach, [id] AS ids FROM hits QUALIFY row_number() OVER (PARTITION BY k ORDER BY i) = 1
+                  UNION ALL
+                  (SELECT c.k, h.i + h.size, c.ids || CASE WHEN h.i - c.reach > {licences.MAX_GAP} THEN [0, h.id] ELSE [h.id] END
+                   FROM chain c JOIN hits h ON h.k = c.k AND h.i >= c.reach QUALIFY row_number() OVER (PARTITION BY c.k ORDER BY h.i) = 1)),
+        found AS (SELECT k, ids FROM chain QUALIFY row_number() OVER (PARTITION BY k ORDER BY len(ids) DESC) = 1),
+        walk AS (SELECT k, ids, 1 AS j, CAST([] AS VARCHAR[]) AS names FROM found
+                 UNION ALL
+                 (SELECT w.k, w.ids, w.j + coalesce(len(r.ids), 1), CASE WHEN r.name IS NULL THEN w.names ELSE w.names || [r.name] END
+                  FROM walk w LEFT JOIN rules r ON w.ids[w.j:w.j + len(r.ids) - 1] = r.ids WHERE w.j <= len(w.ids)
+                  QUALIFY row_number() OVER (PARTITION BY w.k ORDER BY len(r.ids) DESC NULLS LAST) = 1)),
+        done AS (SELECT k, ids, names FROM walk WHERE j > len(ids))
+        SELECT doc_id, coalesce(len(ids), 0) AS n_sentences, coalesce(len(names), 0) AS n_licences,
+               coalesce(array_to_string(list_sort(list_distinct(names)), ','), '') AS licences FROM d LEFT JOIN done USING (k)"""
+
+
 SQL: dict[str, str] = {
     "op2_benchmark_decontamination": rf"""
         WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -125,6 +159,7 @@ SQL: dict[str, str] = {
                CASE WHEN size >= 1000 AND page_id <> last_id THEN last_id END AS refers_to
         FROM (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS size, sha1(coalesce(html, '')) AS digest,
                      max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last_id FROM pages)""",
+    "op4_licence_scan": _licence_sql(),
     "op5_exact_dedup": f"""
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(norm) AS text_sha256
