@@ -18,6 +18,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,8 @@ from tessella.llm.common import as_bytes, shuffle_width
 from tessella.llm.wavelet import pack, unpack
 
 SHARD_TOKENS, END_ID = 1 << 20, 2
-#: Characters encoded together, and chunks that the memo holds before it is emptied.
-SLICE_CHARS, MEMO = 1 << 20, 300_000
+#: Characters encoded together, and chunks that the memo holds before it is trimmed.
+SLICE_CHARS, MEMO = 1 << 20, 500_000
 #: Texts with anything else, or with what may begin a special token, are encoded whole.
 _ODD = re.compile("[^\t-\r -~\xa1-įı-ſ]|<\\|")
 
@@ -63,10 +64,11 @@ class Encoder:
             shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
             hidden = [b for b in range(256) if b not in shown]
             self.shown = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.forget()
+        self._start([])
+        self.flat, self.start, self.size, self.used = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def forget(self) -> None:
-        memo: dict[str, int] = {}
+    def _start(self, chunks: list[str]) -> None:
+        """A memo of these chunks, numbered from 0; what is asked for beyond them is numbered on and noted as fresh."""
         fresh: list[str] = []
 
         class Memo(dict):
@@ -75,9 +77,18 @@ class Encoder:
                 fresh.append(chunk)
                 return n
 
-        memo = Memo()
-        self.memo, self.fresh = memo, fresh
-        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.memo, self.fresh = Memo(zip(chunks, range(len(chunks)))), fresh
+
+    def _trim(self) -> None:
+        """Keep the chunks used most often, at most half of MEMO and none used once; halve what is known of their use."""
+        order = np.argsort(-self.used, kind="stable")[: MEMO // 2]
+        kept = order[self.used[order] > 1]
+        names = list(self.memo)
+        self._start([names[i] for i in kept.tolist()])
+        start, size = self.start[kept], self.size[kept]
+        ends = np.cumsum(size)
+        self.flat = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)]
+        self.start, self.size, self.used = ends - size, size, self.used[kept] // 2
 
     def _learn(self) -> None:
         """Encode the chunks seen for the first time."""
@@ -110,7 +121,8 @@ class Encoder:
         if self.fresh:
             self._learn()
         if simple:
-            code = np.array([c for part in codes for c in part], dtype=np.int64)
+            code = np.fromiter(chain.from_iterable(codes), dtype=np.int64)
+            self.used = np.bincount(code, minlength=len(self.size)) + np.pad(self.used, (0, len(self.size) - len(self.used)))
             start, size = self.start[code], self.size[code]
             ends = np.cumsum(size)
             ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)]
@@ -119,7 +131,7 @@ class Encoder:
             for k, i in enumerate(simple):
                 out[i] = ids[cut[k] : cut[k + 1]]
         if len(self.memo) > MEMO:
-            self.forget()
+            self._trim()
         return out
 
 
