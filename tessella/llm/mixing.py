@@ -27,7 +27,7 @@ from tessella.llm.common import materialise
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 #: Blocks that a source of many words is cut into, about; documents that a bucket of the hash holds, about.
-BLOCKS, BUCKET = 4096, 8192
+BLOCKS, BUCKET = 4096, 1024
 #: Golden ratio as a fraction of 2^31: point i of the sequence is i * STEP modulo CYCLE.
 STEP, CYCLE = 1327217885, 1 << 31
 WORDS = r"[^\x20\x09-\x0D]+"
