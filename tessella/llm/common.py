@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.storage import materialise, shared_dir
+
+__all__ = ["as_bytes", "fresh_name", "join_groups", "materialise", "read", "shared_dir", "shuffle_width"]
+
 #: Keys whose group holds more than this share of all rows are joined by broadcast; there are at most 1 / HOT_SHARE of them.
 HOT_SHARE = 0.001
 
@@ -17,26 +17,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh path below spark.checkpoint.dir; a temporary folder is set as that only if the session has none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        own = spark.sparkContext.getCheckpointDir()
-        if own is None:
-            own = tempfile.mkdtemp(prefix="tessella-checkpoint-")
-            spark.sparkContext.setCheckpointDir(own)
-        root = os.path.dirname(own.rstrip("/")) if "/rdd-" in own else own
-    return f"{root.rstrip('/')}/tessella/{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Write a frame below the shared folder and read it back, so that later stages survive lost executors and repeat nothing."""
-    spark = df.sparkSession
-    path = path or shared_dir(spark)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def shuffle_width(spark: SparkSession, per_partition: int = 1) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))) * per_partition
 

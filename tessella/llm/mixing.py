@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.llm.common import materialise
+from tessella.llm.common import fresh_name, materialise
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 #: Blocks that a source of many words is cut into, about; documents that a bucket of the hash holds, about.
@@ -133,8 +133,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **args) -> DataFrame:
     """The mix as whole documents: each row as often as the block that holds its first word is taken."""
-    from tessella.llm.common import fresh_name
-
     key, copies, same = (fresh_name(docs, n) for n in ("row_key_", "copies_", "same_id_"))
     row_key = F.xxhash64(*docs.columns)
     # Rows equal in all columns are one row here, with the sum of their copies.

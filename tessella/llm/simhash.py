@@ -217,10 +217,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     first = rows.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("id", "text_key", "component_id", "fp").agg(F.count("*").alias("rows"))
     named = first.withColumn("group", F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("null "), F.col("fp").cast("string"))))
     kept = named.groupBy("group").agg(F.min_by(F.struct("id", "text_key", "rows"), "text_key").alias("k")).select("k.*")
-    key, many = fresh_name(docs, "text_key_"), fresh_name(docs, "rows_")
+    key, many, same_id, same_key = (fresh_name(docs, n) for n in ("text_key_", "rows_", "kept_id_", "kept_key_"))
     keyed = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    right = materialise(kept.select(F.col("id").alias("_kept_id"), F.col("text_key").alias("_kept_key"), F.col("rows").alias(many)))
-    joined = keyed.join(right, keyed[id_col].eqNullSafe(right["_kept_id"]) & (keyed[key] == right["_kept_key"])).drop("_kept_id", "_kept_key")
+    right = materialise(kept.select(F.col("id").alias(same_id), F.col("text_key").alias(same_key), F.col("rows").alias(many)))
+    joined = keyed.join(right, keyed[id_col].eqNullSafe(right[same_id]) & (keyed[key] == right[same_key])).drop(same_id, same_key)
     single = joined.where(F.col(many) == 1)
     several = joined.where(F.col(many) > 1).dropDuplicates([id_col, key])
     return single.unionByName(several).select(docs.columns)

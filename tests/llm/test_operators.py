@@ -10,7 +10,7 @@ import pytest
 from tessella.llm import chat, components, decontam, exact_dedup, langid, licences, mixing, queries, simhash, substring, tokens, warc, wavelet
 from tessella.llm.common import shared_dir
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, TEXT_ string, id long, fp string, sha string, size string, k string, chunk string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, TEXT_ string, id long, fp string, sha string, size string, k string, chunk string, kept_id_ string, COPIES_ string"
 WORD = ["alpha", "beta", "gamma", "delta", "omega", "le", "und", "größe", "x"]
 
 
@@ -22,7 +22,7 @@ def prose(seed, n):
 def rows_of(texts, langs=None, sources=None, ids=None):
     ids = ids or list(range(len(texts)))
     return [
-        (i, t, langs[k] if langs else "en", sources[k] if sources else f"s{k % 4}", len(t or ""), "a", 7, "f", "s", "z", None, "c")
+        (i, t, langs[k] if langs else "en", sources[k] if sources else f"s{k % 4}", len(t or ""), "a", 7, "f", "s", "z", None, "c", "d", "e")
         for k, (i, t) in enumerate(zip(ids, texts))
     ]
 
