@@ -28,7 +28,7 @@ def sql_where_false(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sql_params(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(f"SELECT c_custkey, c_name FROM {_customer(spark, sf_dir)} WHERE c_mktsegment = ? AND c_custkey < ?", args=["BUILDING", 500])
+    return spark.sql(f"SELECT c_custkey, c_name FROM {_customer(spark, sf_dir)} WHERE c_mktsegment = ? AND c_acctbal > ?", args=["BUILDING", 500.0])
 
 
 def tpch_customer_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +99,7 @@ QUERIES = {
 SQL = {
     "sql_limit_count": "SELECT count(*) AS n FROM (SELECT * FROM customer LIMIT 1000)",
     "sql_where_false": "SELECT count(*) AS n FROM customer WHERE false",
-    "sql_params": "SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey < 500",
+    "sql_params": "SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 500e0",
     "tpch_customer_limit": "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 10",
     "show_tables_count": "SELECT CAST(1 AS BIGINT) AS n",
     "detection_table_roundtrip": query("SELECT cls AS class, count(*) AS n, round(sum(fid % 100 / 100e0), 6) AS score, CAST(sum(93) AS BIGINT) AS bytes FROM features WHERE fid % 7 <> 0 GROUP BY cls", FEATURES),

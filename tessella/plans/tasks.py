@@ -50,18 +50,18 @@ def progress_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("percent", F.round(ops.progress_percent(F.col("num"), F.lit(500), 0.5, 0.5), 6))
 
 
-def _settings(spark: SparkSession, sf_dir: str, where: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").where(where).select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("value"))
-
-
 def config_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    remote = _settings(spark, sf_dir, "c_custkey BETWEEN 30 AND 90").withColumn("value", F.concat(F.lit("remote-"), "value"))
-    return ops.overlay(_settings(spark, sf_dir, "c_custkey < 60"), remote, "key", "value")
+    """Customers as local settings, suppliers over them as remote ones."""
+    local = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("value"))
+    remote = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("value"))
+    return ops.overlay(local, remote, "key", "value")
 
 
 def config_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = _settings(spark, sf_dir, "c_custkey BETWEEN 30 AND 90").withColumn("value", F.when(F.col("key") % 2 == 0, F.col("value")).otherwise(F.concat("value", F.lit("!"))))
-    return ops.changes(_settings(spark, sf_dir, "c_custkey < 60"), new, "key", "value")
+    """Parts as the old settings and customers, under twice their key, as the new; half of the shared ones are equal."""
+    old = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), (F.col("p_partkey") % 5).cast("string").alias("value"))
+    new = table(spark, sf_dir, "customer").select((F.col("c_custkey") * 2).alias("key"), (F.col("c_custkey") * 2 % 10).cast("string").alias("value"))
+    return ops.changes(old, new, "key", "value")
 
 
 def download_params(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,10 +183,10 @@ SQL = {
               FROM f JOIN o ON o.task = f.task AND o.n = f.n + 1)
         SELECT task, event_id FROM f WHERE taken""",
     "progress_percent": "SELECT num, CASE WHEN num % 10 = 0 THEN round(num / 500 * 99e0 * 0.5e0 + 50e0, 6) END AS percent FROM (SELECT unnest(range(500)) AS num)",
-    "config_overlay": "SELECT coalesce(r.c_custkey, l.c_custkey) AS key, coalesce('remote-' || r.c_mktsegment, l.c_mktsegment) AS value FROM (SELECT * FROM customer WHERE c_custkey < 60) l FULL JOIN (SELECT * FROM customer WHERE c_custkey BETWEEN 30 AND 90) r ON l.c_custkey = r.c_custkey",
+    "config_overlay": "SELECT coalesce(s_suppkey, c_custkey) AS key, coalesce(s_name, c_mktsegment) AS value FROM customer FULL JOIN supplier ON s_suppkey = c_custkey",
     "config_diff": """
-        WITH o AS (SELECT c_custkey AS key, c_mktsegment AS v FROM customer WHERE c_custkey < 60),
-        n AS (SELECT c_custkey AS key, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE c_mktsegment || '!' END AS v FROM customer WHERE c_custkey BETWEEN 30 AND 90)
+        WITH o AS (SELECT p_partkey AS key, CAST(p_partkey % 5 AS VARCHAR) AS v FROM part),
+        n AS (SELECT c_custkey * 2 AS key, CAST(c_custkey * 2 % 10 AS VARCHAR) AS v FROM customer)
         SELECT * FROM (SELECT coalesce(o.key, n.key) AS key, CASE WHEN n.v IS NULL THEN 'delete' WHEN o.v IS NULL THEN 'add' WHEN o.v <> n.v THEN 'update' END AS change,
                               CASE WHEN n.v IS NULL THEN o.v ELSE n.v END AS value FROM o FULL JOIN n ON o.key = n.key) WHERE change IS NOT NULL""",
     "download_params": query("""SELECT id, '{"mask":"http://host/out/' || id || '/mask_' || id || '.tif","shape":"http://host/out/' || id || '/shape.shp"}' AS params FROM tasks""", TASKS),

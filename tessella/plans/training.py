@@ -23,11 +23,11 @@ def signal_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sample_list_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A list with repeats and a missing id, over two collections."""
+    """Orders as a list of samples with repeats, each in one of two collections; many ids are missing in the second."""
     a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))
     b = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"))
-    listed = spark.range(60).select(
-        F.col("id").alias("position"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("collection"), F.when(F.col("id") == 59, -1).otherwise(F.col("id") % 7 + 1).cast("long").alias("key")
+    listed = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("position"), F.when(F.col("o_orderstatus") == "F", "b").otherwise("a").alias("collection"), F.col("o_custkey").alias("key")
     )
     return training.look_up(listed, training.merge_collections({"a": a, "b": b}), "key")
 
@@ -65,7 +65,7 @@ SQL = {
     "signal_clip": query("SELECT vec_id, least(label, 100) AS target, CAST(pos AS INTEGER) AS pos, least(k, 100e0) / 100e0 AS k FROM signals WHERE split = 0", SIGNALS),
     "sample_list_lookup": """
         WITH c AS (SELECT 'a' AS collection, c_custkey AS key, c_name AS name FROM customer UNION ALL SELECT 'b', s_suppkey, s_name FROM supplier),
-        l AS (SELECT i AS position, CASE WHEN i % 2 = 0 THEN 'a' ELSE 'b' END AS collection, CASE WHEN i = 59 THEN -1 ELSE i % 7 + 1 END AS key FROM (SELECT unnest(range(60)) AS i))
+        l AS (SELECT o_orderkey AS position, CASE WHEN o_orderstatus = 'F' THEN 'b' ELSE 'a' END AS collection, o_custkey AS key FROM orders)
         SELECT collection, key, position, name FROM l LEFT JOIN c USING (collection, key)""",
     "tolerance_accuracy": query(
         "SELECT split, round(avg(CASE WHEN abs(k - label) <= 5 THEN 1e0 WHEN abs(k - label) <= 10 THEN 0.6e0 ELSE 0e0 END) * 100, 2) AS accuracy, count(*) AS n FROM signals WHERE pos = 0 GROUP BY split", SIGNALS),
