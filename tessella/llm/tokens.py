@@ -32,7 +32,7 @@ from tessella.llm.wavelet import pack, unpack
 
 SHARD_TOKENS, END_ID = 1 << 20, 2
 #: Characters encoded together, and chunks that the memo holds before it is trimmed.
-SLICE_CHARS, MEMO = 1 << 20, 500_000
+SLICE_CHARS, MEMO = 1 << 20, 400_000
 #: Texts with anything else, or with what may begin a special token, are encoded whole.
 _ODD = re.compile("[^\t-\r -~\xa1-įı-ſ]|<\\|")
 
@@ -94,7 +94,13 @@ class Encoder:
         """Encode the chunks seen for the first time."""
         pieces, counts = [], []
         for chunk in self.fresh:
-            found = self.pattern.findall(chunk)
+            # Letters alone are one piece, and a mark after letters another; the pattern finds the rest.
+            if chunk.isalpha():
+                found = [chunk]
+            elif chunk[-1] in ",.;:!?" and chunk[:-1].isalpha():
+                found = [chunk[:-1], chunk[-1]]
+            else:
+                found = self.pattern.findall(chunk)
             counts.append(len(found))
             pieces += [p if p.isascii() else p.encode().decode("latin-1").translate(self.shown) for p in found]
         ids = np.array(self.plain.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, dtype=np.uint32)
