@@ -52,3 +52,31 @@ def test_run(spark, sf_dir):
     df = corpus_pipeline.run(spark, sf_dir)
     assert df.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
     assert df.count() > 0
+
+
+def test_stages_on_odd_tables(spark, sf_dir):
+    """Nulls in any column, empty and long texts, ties, repeats, clashing columns, and no rows at all."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, ID string, rows_ int"
+    long = "the cat and the dog " * 20_000
+    rows = [
+        (1, "the cat and the dog sat here", "en", "a", 5, 0.5, "x", 1), (1, "the cat and the dog sat here", "en", "a", 5, 0.5, "x", 1), (1, "the cat and the dog sat here", "en", "b", 5, 0.5, "x", 1),
+        (2, None, None, None, None, None, None, None), (None, "le chat et la souris dorment", None, None, None, None, None, None), (None, None, None, None, None, None, None, None),
+        (3, "", "en", "a", 0, 0.1, "y", 2), (4, long, "en", "a", 9, 0.1, "y", 2), (5, long, None, None, 9, 0.1, "y", 2), (6, "12 !?", "en", "a", 5, 0.1, "z", 3), (-7, "der hund und die katze", "de", "", 1, 0.2, "w", 4),
+    ]
+    docs, none = spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for table in (docs, none, docs.where("lang IS NULL"), docs.where("text IS NULL")):
+            out = stage(spark, table, sf_dir)
+            assert out.columns == table.columns, name
+            assert out.count() <= 2 * table.count()
+    at = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        at = stage(spark, at, sf_dir)
+    tokens = corpus_pipeline.STAGES[-1][1]
+    assert tokens(spark, at, sf_dir).count() == at.count()
+    assert tokens(spark, docs, sf_dir).count() == len(rows)
+    assert tokens(spark, none, sf_dir).count() == 0
+    kept = corpus_pipeline.STAGES[0][1](spark, docs, sf_dir)
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [-7, 0, 1, 1, 1, 4, 5]
+    near = corpus_pipeline.STAGES[1][1](spark, docs, sf_dir).collect()
+    assert len(near) == 6 and {r["doc_id"] for r in near} == {1, 2, None, 4, 6, -7}
