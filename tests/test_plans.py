@@ -19,7 +19,7 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     assert "In(p_brand" in text and "ReadSchema: struct<p_partkey:bigint,p_brand:string>" in text
 
 
-@pytest.mark.parametrize("name", ["window_feature_join", "window_feature_semi", "window_in_zone_semi", "stack_crop", "flagship_sample_manifest", "dbscan_neighbors"])
+@pytest.mark.parametrize("name", ["window_feature_join", "window_feature_semi", "window_in_zone_semi", "stack_crop", "flagship_sample_manifest"])
 def test_range_joins_are_equi_joins(spark, sf_dir, name):
     text = plan(catalogue.QUERIES[name](spark, sf_dir))
     assert "BroadcastNestedLoopJoin" not in text and "CartesianProduct" not in text

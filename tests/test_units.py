@@ -279,6 +279,14 @@ def test_clusters(spark):
         cluster.agglomerative_labels(df, "id", 3, most=10)
 
 
+def test_neighbours_in_parts(spark):
+    x = np.random.default_rng(7).normal(size=(80, 4))
+    df = spark.createDataFrame([(i, x[i].tolist()) for i in range(80)], "id long, v array<double>")
+    want = sorted((i, j) for i in range(80) for j in range(80) if ((x[i] - x[j]) ** 2).sum() <= 1)
+    for block in (2048, 7):
+        assert sorted((r["a"], r["b"]) for r in cluster.neighbours(df, "id", 1.0, block=block).collect()) == want
+
+
 def test_silhouette_in_blocks(spark):
     rng = np.random.default_rng(5)
     x, label = rng.normal(size=(50, 2)), rng.integers(0, 3, 50)
