@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import decontam, langid, mixing, simhash, tokens
+from tessella.llm import decontam, langid, mixing, neardup, tokens
 from tessella.llm.common import materialise, read, shared_dir
 from tessella.llm.queries import tokenizer_path
 
@@ -21,8 +21,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest id."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each group linked by a Jaccard similarity of 0.8 of five-word shingles, that with the smallest id."""
+    return neardup.drop_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -212,7 +212,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Rows with a null id stay only where their whole component has none, one of each.
     """
-    rows = label(docs, id_col, text_col, **args)
+    return keep_first(docs, label(docs, id_col, text_col, **args), id_col, text_col)
+
+
+def keep_first(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One document of each component of `rows`, the label of each document, by the smallest id."""
     # One text for each component: rows of its smallest id, the smallest text key; then whole rows are counted.
     first = rows.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("id", "text_key", "component_id", "fp").agg(F.count("*").alias("rows"))
     named = first.withColumn("group", F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("null "), F.col("fp").cast("string"))))
