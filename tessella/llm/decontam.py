@@ -6,8 +6,8 @@ a string have shift 0 and lead to a bucket keyed by that suffix block, and the b
 word. Documents stream through unshuffled. The benchmark is read in slabs of bounded bytes, one pass chained per slab.
 
 Defined results: words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after lower-casing A-Z; null or wordless documents have
-no hits, null or wordless items no strings; rows of one item_id count as one item, and items without an id are
-left out; repeated documents are each searched; extra columns are ignored; an empty benchmark hits nothing.
+no hits, null or wordless items no strings; rows of one item_id count as one item, and so do those without an id, which
+items_sha256 passes over; repeated documents are each searched; extra columns are ignored; an empty benchmark hits nothing.
 """
 
 from __future__ import annotations
@@ -32,16 +32,20 @@ def words_of(text: bytes) -> list[bytes]:
     return WORDS.findall(text.lower())
 
 
-def item_windows(items: list[tuple[str, bytes]], window: int = WINDOW) -> dict[tuple[bytes, ...], list[str]]:
+def _order(item: str | None) -> tuple[bool, str]:
+    return item is not None, item or ""
+
+
+def item_windows(items: list[tuple[str | None, bytes]], window: int = WINDOW) -> dict[tuple[bytes, ...], list[str | None]]:
     """Each test string with the ids of the items that hold it."""
-    found: dict[tuple[bytes, ...], set[str]] = {}
+    found: dict[tuple[bytes, ...], set[str | None]] = {}
     for item, text in items:
         words = words_of(text)
         if words:
             m = min(window, len(words))
             for i in range(len(words) - m + 1):
                 found.setdefault(tuple(words[i : i + m]), set()).add(item)
-    return {k: sorted(v) for k, v in found.items()}
+    return {k: sorted(v, key=_order) for k, v in found.items()}
 
 
 class WuManber:
@@ -84,7 +88,7 @@ class WuManber:
             i += 1
 
 
-def _tables(windows: dict[tuple[bytes, ...], list[str]]) -> list[WuManber]:
+def _tables(windows: dict[tuple[bytes, ...], list[str | None]]) -> list[WuManber]:
     by_length: dict[int, list[tuple[bytes, ...]]] = {}
     for s in windows:
         by_length.setdefault(len(s), []).append(s)
@@ -101,7 +105,7 @@ def _search(shared):
                 words = words_of(text.as_py())
                 found = [(at, s) for t in tables for at, s in t.occurrences(words)] if words else []
                 spans.append([x for at, s in found for x in (at, at + len(s))])
-                items.append(sorted({i for _, s in found for i in windows[s]}))
+                items.append(sorted({i for _, s in found for i in windows[s]}, key=_order))
             new = {"spans": pa.array(spans, pa.list_(pa.int64())), "items": pa.array(items, pa.list_(pa.string()))}
             old = {n: batch.column(n) for n in batch.schema.names}
             if "spans" in old:
@@ -123,8 +127,8 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 hit += max(0, b - max(a, reach))
                 reach = max(reach, b)
             n_hit.append(hit)
-            ids = sorted(set(items))
-            n_items.append(len(ids))
+            n_items.append(len(set(items)))
+            ids = sorted({i for i in items if i is not None})
             digests.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
         own = [batch.column(n) for n in batch.schema.names if n not in ("text", "spans", "items")]
         names = [n for n in batch.schema.names if n not in ("text", "spans", "items")]
@@ -134,10 +138,8 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _slabs(benchmark: DataFrame, item_col: str, text_col: str, slab_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
-    items = benchmark.where(F.col(item_col).isNotNull()).select(
-        F.col(item_col).cast("string").alias("item"), as_bytes(text_col).alias("text")
-    )
+def _slabs(benchmark: DataFrame, item_col: str, text_col: str, slab_bytes: int) -> Iterator[list[tuple[str | None, bytes]]]:
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), as_bytes(text_col).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // slab_bytes))
     for k in range(n):
