@@ -112,13 +112,20 @@ def _known(text: str) -> int:
 def identifiers(text: bytes) -> list[int]:
     """Identifiers of the known sentences in order; 0 marks a break."""
     pieces = [p for p in _PIECE.split(text) if p]
+    normal = [normalise(p) for p in pieces]
+    # From each piece on, the first that has words or an end: those between add nothing to a join.
+    ahead = list(range(len(pieces)))
+    for j in range(len(pieces) - 2, -1, -1):
+        if not normal[j] and pieces[j][-1:] not in b".!?;":
+            ahead[j] = ahead[j + 1]
     found, gap, i = [], 0, 0
     while i < len(pieces):
-        size, joined = 1, normalise(pieces[i])
+        size, joined = 1, normal[i]
         known = _known(joined)
-        while not known and pieces[i + size - 1][-1:] not in b".!?;" and i + size < len(pieces) and len(joined) < _LONGEST and size < 16:
-            joined = f"{joined} {normalise(pieces[i + size])}".strip()
-            size += 1
+        while not known and pieces[i + size - 1][-1:] not in b".!?;" and i + size < len(pieces) and len(joined) < _LONGEST:
+            at = ahead[i + size]
+            joined = f"{joined} {normal[at]}".strip()
+            size = at - i + 1
             known = _known(joined)
         if known:
             if found and gap > MAX_GAP:
