@@ -18,13 +18,18 @@ def _minima(edges: DataFrame, total: int) -> DataFrame:
     return join_groups(edges, least, "u", "degree", total)
 
 
+def _is_forest(edges: DataFrame) -> bool:
+    """Whether every edge (u, v) goes from a node of no other edge to a root."""
+    return edges.groupBy("u").count().where("count > 1").isEmpty() and edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the edges (u, v) of two orderable columns of one type; root is the component's smallest node."""
     now = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     while True:
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if state == before or not state["n"]:
+        if state == before or not state["n"] or _is_forest(now):
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
                 now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )

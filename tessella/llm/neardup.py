@@ -1,146 +1,294 @@
-"""Near-duplicates by Jaccard similarity of word shingles: candidates by MinHash, links confirmed on whole texts.
+"""Near-duplicates at a Jaccard similarity of word shingles: candidates by SimHash anchors and MinHash bands, links confirmed.
 
 Words are as in simhash; a text's set has its distinct shingles of `shingle` words, fewer words are one shingle. Texts of
-equal sets are one node. Each node has BANDS x ROWS minimum hashes, and two nodes are candidates if all ROWS of a band
-agree: a pair of similarity 0.8 is missed with probability (1 - 0.8 ** 4) ** 32 < 5e-8. Candidates are linked if the
-Jaccard similarity of their whole sets is `least` or more.
+equal sets are one node. A node has a SimHash fingerprint of its shingles, and nodes whose fingerprints anchor covering
+groups (simhash.link_fingerprints) are candidates. At a similarity of 0.8 fingerprints differ in 10 of 64 bits on
+average and in up to 18, which no covering code reaches with few replicas, so a node also has BANDS x ROWS minimum
+hashes, and two nodes are candidates if all ROWS of a band agree: a pair of similarity 0.8 is missed with probability
+(1 - 0.8 ** 4) ** 32 < 5e-8. Candidates are linked if the Jaccard similarity of their whole sets is `least` or more.
 
-First each node is compared with the smallest of each of its bands, and the links are joined to components. Bands whose
-nodes are all in one component are done; in the others all pairs across components are compared, so that no link that
-would join components is passed over.
+First each node is compared with the smallest of its fingerprint group and of each of its bands, and the links are joined
+to components. Bands whose nodes are all in one component are done; in the others all pairs across components are
+looked at, so that no link that would join components is passed over. There pairs are first told apart by their
+minimum hashes: at a similarity of 0.8 fewer than AGREE of 128 agree with probability below 1e-6. Pairs are confirmed in
+cells of nodes that share bands, directly or through others, so that a set is sent to few places and not with each pair.
 
-Defined results: null, empty and wordless texts have the empty set and are one node; rows without an id are as in simhash.
+Defined results: null, empty and wordless texts have the empty set and are one node; texts of any length are read whole,
+a slice at a time; rows without an id are as in simhash; repeated rows are one node; extra columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import as_bytes, join_groups, materialise
+from tessella.llm import simhash
+from tessella.llm.common import as_bytes, in_slices, join_groups, materialise, mix, word_hashes
 from tessella.llm.components import components
-from tessella.llm.simhash import keep_first
 
 SHINGLE, LEAST, SEED = 5, 0.8, 42
 BANDS, ROWS = 32, 4
+#: Minimum hashes, of BANDS x ROWS, that agree in every pair worth a look, at the default similarity.
+AGREE = 76
 #: Nodes of a band that one group compares with as many others, and hashes that are permuted at once.
-CELL, HASHES = 2048, 2048
-_RANDOM = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), dtype=np.uint64)
-_TIMES, _PLUS = _RANDOM[0] | np.uint64(1), _RANDOM[1]
+CELL, HASHES = 1024, 1024
+#: Bytes of sets that a part of a cluster has, about, and bytes of a set that are one row.
+BLOCK, PIECE = 4 << 20, 8 << 10
+_RANDOM = np.random.default_rng(SEED).integers(0, 1 << 32, (2, BANDS * ROWS), dtype=np.uint32)
+_TIMES, _PLUS = _RANDOM[0] | np.uint32(1), _RANDOM[1]
+_LENGTH = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles(text: bytes, shingle: int = SHINGLE) -> set[bytes]:
-    words = text.lower().split()
-    return {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
+def shingle_hashes(words: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
+    """Hash of each shingle of a text, repeats included, from the hashes of its words."""
+    size = min(shingle, len(words))
+    if not size:
+        return words
+    places = len(words) - size + 1
+    out = mix(words[:places], np.full(places, size, dtype=np.uint64) * _LENGTH)
+    for k in range(1, size):
+        out = mix(out, words[k : places + k])
+    return out
 
 
-def sketch(text: bytes, shingle: int = SHINGLE) -> tuple[int, int, np.ndarray]:
-    """(key of the set, its size, a hash of each band)."""
-    from xxhash import xxh64_intdigest
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The BANDS x ROWS minimum hashes of a set."""
+    short = (hashes >> np.uint64(32)).astype(np.uint32)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, dtype=np.uint32)
+    for at in range(0, len(short), HASHES):
+        np.minimum(least, (short[at : at + HASHES, None] * _TIMES + _PLUS).min(axis=0), out=least)
+    return least
 
-    own = shingles(text, shingle)
-    hashes = np.sort(np.fromiter((xxh64_intdigest(s, SEED) for s in own), dtype=np.uint64, count=len(own)))
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(hashes), HASHES):
-        np.minimum(least, (hashes[at : at + HASHES, None] * _TIMES + _PLUS).min(axis=0), out=least)
-    bands = np.array([xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(least.reshape(BANDS, ROWS))], dtype=np.uint64)
-    return xxh64_intdigest(hashes.tobytes(), SEED), len(own), bands.view(np.int64)
+
+def _hashed(texts: list[bytes], shingle: int) -> Iterator[np.ndarray]:
+    """Shingle hashes of each text, repeats included."""
+    lower = [t.lower() for t in texts]
+    for a, b in in_slices(lower):
+        words, counts = word_hashes(lower[a:b], SEED)
+        ends = np.cumsum(counts)
+        yield from (shingle_hashes(words[x:y], shingle) for x, y in zip(ends - counts, ends))
 
 
 def _sketches(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest, xxh3_128_digest
+
         for batch in batches:
-            found = [sketch(t.as_py(), shingle) for t in batch.column("text")]
-            node = pa.array(np.array([f[0] for f in found], dtype=np.uint64).view(np.int64))
-            bands = pa.array([f[2] for f in found], pa.list_(pa.int64()))
-            columns = [batch.column("id"), batch.column("text_key"), node, pa.array([f[1] for f in found], pa.int64()), bands]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "text_key", "fp", "size", "bands"])
+            nodes, sizes, prints, signs, bands = [], [], [], [], []
+            for hashes in _hashed(batch.column("text").to_pylist(), shingle):
+                prints.append(simhash.majority(hashes))
+                own = np.unique(hashes)
+                least = minima(own)
+                nodes.append(xxh3_128_digest(own.tobytes(), SEED))
+                sizes.append(len(own))
+                signs.append(least.astype(np.uint8).tobytes())
+                bands.append([xxh3_64_intdigest(b.tobytes(), i) for i, b in enumerate(least.reshape(BANDS, ROWS))])
+            flat = pa.array(np.array(bands, dtype=np.uint64).reshape(-1).view(np.int64))
+            columns = [
+                batch.column("id"), batch.column("text_key"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()),
+                pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), pa.array(signs, pa.binary()),
+                pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1) * BANDS, pa.int32()), flat),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "text_key", "node", "size", "fp", "sign", "bands"])
 
     return run
 
 
-def _confirmed(shingle: int, least: float):
+def _sets(shingle: int):
+    """Sorted distinct shingle hashes of texts, for those that are the node they are taken for."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = lru_cache(256)(lambda text: shingles(text, shingle))
+        from xxhash import xxh3_128_digest
+
+        for batch in batches:
+            nodes, sets = [], []
+            for node, hashes in zip(batch.column("node").to_pylist(), _hashed(batch.column("text").to_pylist(), shingle)):
+                own = np.unique(hashes).tobytes()
+                if xxh3_128_digest(own, SEED) == node:
+                    nodes.append(node)
+                    sets.append(own)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())], names=["node", "hashes"])
+
+    return run
+
+
+def _confirmed(least: float):
+    """Links of cells that follow one another: pieces of sets (kind 0) first, then pairs (kind 1); those that are linked already are passed over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, pieces, sets, root = None, {}, {}, {}
+
+        def top(x: bytes) -> bytes:
+            while (up := root.get(x, x)) != x:
+                root[x] = x = root.get(up, up)
+            return x
+
+        def hashes(x: bytes) -> np.ndarray:
+            if x not in sets:
+                sets[x] = np.frombuffer(b"".join(pieces[x]), np.uint64)
+            return sets[x]
+
         for batch in batches:
-            a, b = (batch.column(n).to_pylist() for n in ("left", "right"))
             linked = []
-            for x, y in zip(a, b):
-                x, y = sets(x), sets(y)
-                both = len(x & y)
-                linked.append(both >= least * (len(x) + len(y) - both))
-            yield batch.select(["u", "v"]).filter(pa.array(linked, pa.bool_()))
+            for *key, kind, u, v, piece in zip(*(batch.column(c).to_pylist() for c in ("cluster", "p", "q", "kind", "u", "v", "piece"))):
+                if key != cell:
+                    cell, pieces, sets, root = key, {}, {}, {}
+                if not kind:
+                    pieces.setdefault(u, []).append(piece)
+                elif (a := top(u)) != (b := top(v)):
+                    x, y = hashes(u), hashes(v)
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if both >= least * (len(x) + len(y) - both):
+                        root[a] = b
+                        linked.append((u, v))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in linked], pa.binary()) for k in (0, 1)], names=["u", "v"])
 
     return run
 
 
-def _links(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Those of the pairs (u, v) of nodes that are similar, by the texts (node, text)."""
-    pairs = materialise(pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    total = pairs.count()
-    for node, name in (("u", "left"), ("v", "right")):
-        wanted = pairs.groupBy(node).agg(F.count("*").alias(f"n_{node}"))
-        side = materialise(wanted.join(texts.select(F.col("node").alias(node), F.col("text").alias(name)), node))
-        pairs = join_groups(pairs, side, node, f"n_{node}", total).drop(f"n_{node}")
-    return materialise(pairs.mapInArrow(_confirmed(shingle, least), "u long, v long"))
+def _links(pairs: DataFrame, sets: DataFrame, clusters: DataFrame, least: float, block: int) -> DataFrame:
+    """Those of the distinct pairs (u, v) of nodes that are similar, but for links between what others link already.
+
+    A cluster (node, cluster, size; closed under pairs) is cut into parts of about `block` bytes of sets, and the pairs of
+    two parts meet with the sets that they need in a cell, so that a set is sent once a cell and not once a pair.
+    """
+    total = clusters.groupBy("cluster").agg(F.sum("size").alias("hashes"), F.count("*").alias("n"))
+    parts = F.ceil(F.col("hashes") * 8 / block).cast("int")
+    placed = join_groups(clusters, total, "cluster", "n", clusters.count())
+    placed = materialise(placed.select("node", "cluster", F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), parts)).cast("int").alias("part")))
+    of = lambda c: placed.select(F.col("node").alias(c), "cluster", F.col("part").alias(f"{c}_part"))
+    cells = pairs.join(of("u"), "u").join(of("v").drop("cluster"), "v")
+    cells = materialise(cells.select("u", "v", "cluster", F.least("u_part", "v_part").alias("p"), F.greatest("u_part", "v_part").alias("q")))
+    wanted = cells.select("cluster", "p", "q", F.col("u").alias("node")).unionByName(cells.select("cluster", "p", "q", F.col("v").alias("node"))).distinct()
+    pieces = F.expr(f"transform(sequence(0, greatest(0, (octet_length(hashes) - 1) div {PIECE})), k -> substring(hashes, k * {PIECE} + 1, {PIECE}))")
+    own = wanted.join(sets, "node").select("cluster", "p", "q", F.lit(0).alias("kind"), F.col("node").alias("u"), F.lit(None).cast("binary").alias("v"), F.posexplode(pieces).alias("nth", "piece"))
+    asked = cells.select("cluster", "p", "q", F.lit(1).alias("kind"), "u", "v", F.lit(0).alias("nth"), F.lit(None).cast("binary").alias("piece"))
+    both = own.unionByName(asked).repartition("cluster", "p", "q").sortWithinPartitions("cluster", "p", "q", "kind", "u", "nth", "v")
+    return materialise(both.select("cluster", "p", "q", "kind", "u", "v", "piece").mapInArrow(_confirmed(least), "u binary, v binary"))
+
+
+def _in_order(pairs: DataFrame) -> DataFrame:
+    return materialise(pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
 
 
-def _across(group: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of nodes of different components and of like sizes, one of each side."""
-    a, b = group[group["side"] == 0], group[group["side"] == 1]
-    i, j = np.nonzero(a["root"].to_numpy()[:, None] != b["root"].to_numpy()[None])
-    x, y = a["size"].to_numpy()[i], b["size"].to_numpy()[j]
-    u, v = a["node"].to_numpy()[i], b["node"].to_numpy()[j]
-    like = (np.minimum(x, y) >= group["least"].to_numpy()[:1] * np.maximum(x, y)) & (u < v) if len(i) else np.zeros(0, dtype=bool)
-    return pd.DataFrame({"u": u[like], "v": v[like]})
+def _across(least: float, agree: int):
+    """Pairs of nodes of different components, of like sizes and with `agree` equal minimum hashes, of groups that follow one another."""
 
+    def pairs(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        side = group.column("side").to_numpy()
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        root, size = group.column("root").combine_chunks().dictionary_encode().indices.to_numpy(), group.column("size").to_numpy()
+        sign = np.frombuffer(b"".join(group.column("sign").to_pylist()), np.uint8).reshape(len(side), -1)
+        left, right = [], []
+        for i in a:
+            j = b[(root[b] != root[i]) & (np.minimum(size[b], size[i]) >= least * np.maximum(size[b], size[i]))]
+            if len(j):
+                j = j[(sign[j] == sign[i]).sum(axis=1) >= agree]
+                left.append(np.full(len(j), i))
+                right.append(j)
+        return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
-def _open_pairs(shared: DataFrame, roots: DataFrame, least: float, cell: int) -> DataFrame:
-    """Pairs across components in the bands (band, node, size) whose nodes are in several."""
-    placed = shared.join(roots, "node", "left").select("band", "node", "size", F.coalesce("root", "node").alias("root"))
+    def found(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        i, j = pairs(group)
+        if len(i):
+            node = group.column("node").combine_chunks()
+            yield pa.RecordBatch.from_arrays([node.take(pa.array(i)), node.take(pa.array(j))], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            now = pa.concat_tables([rest, now]) if rest is not None else now
+            keys = np.stack([now.column(k).to_numpy() for k in ("band", "p", "q")])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist()] if now.num_rows else []
+            for x, y in zip(cuts, cuts[1:]):
+                yield from found(now.slice(x, y - x))
+            rest = now.slice(cuts[-1]).combine_chunks() if cuts else None
+        if rest is not None:
+            yield from found(rest)
+
+    return run
+
+
+def _open_pairs(shared: DataFrame, roots: DataFrame, least: float, agree: int, cell: int) -> DataFrame:
+    """Pairs (u, v) across components in the bands (band, node, size, sign) whose nodes are in several."""
+    placed = shared.join(roots, "node", "left").select("band", "node", "size", "sign", F.coalesce("root", "node").alias("root"))
     placed = materialise(placed)
     several = placed.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("band", "n")
     rows = join_groups(placed, materialise(several), "band", "n", placed.count())
-    # A band of more than `cell` nodes is a grid of parts by parts.
-    rows = rows.withColumn("parts", F.ceil(F.col("n") / cell).cast("int")).withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    mine = rows.withColumn("q", every).withColumn("side", F.lit(0))
-    other = rows.withColumnRenamed("p", "q").withColumn("p", every).withColumn("side", F.lit(1))
-    columns = ["band", "p", "q", "side", "node", "size", "root"]
-    both = mine.select(columns).unionByName(other.select(columns)).withColumn("least", F.lit(least))
-    return both.groupBy("band", "p", "q").applyInPandas(_across, "u long, v long")
+    # A band of more than `cell` nodes is a grid of parts by parts, of which those on one side of the diagonal will do.
+    rows = rows.withColumn("parts", F.ceil(F.col("n") / cell).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    columns = ["band", "p", "q", "node", "size", "sign", "root"]
+    last = F.col("parts") - 1
+    mine = rows.withColumn("p", F.col("own")).withColumn("q", F.explode(F.sequence(F.col("own"), last))).select(*columns, F.lit(0).alias("side"))
+    other = rows.withColumn("q", F.col("own")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("own")))).select(*columns, F.lit(1).alias("side"))
+    both = mine.unionByName(other).repartition("band", "p", "q").sortWithinPartitions("band", "p", "q", "side", "node")
+    return both.mapInArrow(_across(least, agree), "u binary, v binary")
+
+
+def _fingerprint_pairs(nodes: DataFrame, total: int) -> DataFrame:
+    """(u, v): the smallest node of each group of fingerprints that anchors link, with every other of it."""
+    roots = materialise(simhash.link_fingerprints(nodes.select("fp").distinct()))
+    placed = materialise(nodes.select("node", "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("node", F.coalesce("root", "fp").alias("print")))
+    groups = materialise(placed.groupBy("print").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1"))
+    return join_groups(placed, groups, "print", "n", total).select(F.col("hub").alias("u"), F.col("node").alias("v"))
 
 
-def label(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: float = LEAST, cell: int = CELL) -> DataFrame:
+def label(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = SHINGLE,
+    least: float = LEAST,
+    agree: int = AGREE,
+    cell: int = CELL,
+    block: int = BLOCK,
+) -> DataFrame:
     """One row per document: id, text_key (a hash of the text), fp (the smallest node of its component), component_id."""
     kind = docs.schema[id_col].dataType.simpleString()
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"), as_bytes(text_col).alias("text"))
-    rows = materialise(keyed.mapInArrow(_sketches(shingle), f"id {kind}, text_key long, fp long, size long, bands array<bigint>"))
-    # Nodes of each band; equal sets have equal bands, so that any row of a node will do.
-    nodes = materialise(rows.groupBy("fp").agg(F.min("text_key").alias("text_key"), F.min("size").alias("size"), F.min("id").alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
-    spread = nodes.select(F.explode("bands").alias("band"), F.col("fp").alias("node"), "size")
+    rows = materialise(keyed.mapInArrow(_sketches(shingle), f"id {kind}, text_key long, node binary, size long, fp long, sign binary, bands array<bigint>"))
+    total = rows.count()
+    # Equal sets have equal sketches, so that any row of a node will do.
+    nodes = rows.groupBy("node").agg(
+        F.min("text_key").alias("text_key"), F.min("size").alias("size"), F.min("fp").alias("fp"), F.min("sign").alias("sign"), F.min("id").alias("least"),
+        F.count("*").alias("copies"), F.first("bands").alias("bands"),
+    )
+    nodes = materialise(nodes)
+    n_nodes = nodes.count()
+    spread = nodes.select(F.explode("bands").alias("band"), "node")
     hubs = materialise(spread.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1"))
-    shared = materialise(join_groups(spread, hubs, "band", "n", BANDS * nodes.count()))
-    in_pairs = shared.select(F.col("node").alias("fp")).distinct().join(nodes, "fp").select(F.col("fp").alias("node"), F.col("text_key").alias("key"))
-    picked = keyed.join(materialise(in_pairs), F.col("text_key") == F.col("key"))
-    texts = materialise(picked.groupBy("node").agg(F.first("text").alias("text")))
-    edges = _links(shared.select(F.col("hub").alias("u"), F.col("node").alias("v")), texts, shingle, least)
+    shared = materialise(join_groups(spread, hubs, "band", "n", BANDS * n_nodes).select("band", "node", "hub"))
+    pairs = _in_order(shared.select(F.col("hub").alias("u"), F.col("node").alias("v")).unionByName(_fingerprint_pairs(nodes, n_nodes)))
+    paired = materialise(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct().join(nodes.drop("bands"), "node"))
+    # One row for each node, but for rows that are equal in id and text.
+    wanted = paired.select("text_key", "node", F.col("least").alias("first"), "copies")
+    texts = join_groups(keyed, wanted, "text_key", "copies", total).where(F.col("id").eqNullSafe(F.col("first"))).select("node", "text")
+    sets = materialise(texts.mapInArrow(_sets(shingle), "node binary, hashes binary").groupBy("node").agg(F.min("hashes").alias("hashes")))
+    # Whatever shares a band or a fingerprint group is in one cluster.
+    clusters = materialise(paired.select("node", "size").join(components(pairs), "node").select("node", "size", F.col("root").alias("cluster")))
+    edges = _links(pairs, sets, clusters, least, block)
     roots = materialise(components(edges))
-    more = _links(_open_pairs(shared.select("band", "node", "size"), roots, least, cell), texts, shingle, least)
+    known = shared.select("band", "node").join(paired.select("node", "size", "sign"), "node")
+    more = _links(_in_order(_open_pairs(known, roots, least, agree, cell)), sets, clusters, least, block)
     if not more.isEmpty():
-        roots = components(edges.unionByName(more))
-    placed = materialise(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.col("least"), "copies", F.coalesce("root", "fp").alias("root")))
+        of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+        across = more.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("u_root", "u").alias("u"), F.coalesce("v_root", "v").alias("v"))
+        higher = components(across).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        lower = roots.unionByName(higher.select(F.col("root").alias("node"), "root")).distinct()
+        roots = materialise(lower.join(higher, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+    placed = materialise(nodes.select("node", "least", "copies").join(roots, "node", "left").select("node", "least", "copies", F.coalesce("root", "node").alias("root")))
     sizes = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
-    groups = join_groups(placed, sizes, "root", "members", nodes.count()).select("fp", "copies", "root", "component_id")
-    return join_groups(rows.select("id", "text_key", "fp"), materialise(groups), "fp", "copies", rows.count()).select("id", "text_key", F.col("root").alias("fp"), "component_id")
+    groups = join_groups(placed, sizes, "root", "members", n_nodes).select("node", "copies", "root", "component_id")
+    named = join_groups(rows.select("id", "text_key", "node"), materialise(groups), "node", "copies", total)
+    return named.select("id", "text_key", F.col("root").alias("fp"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **args: float) -> DataFrame:
     """The documents with the smallest id of each component, as simhash.drop_near_duplicates has them."""
-    return keep_first(docs, label(docs, id_col, text_col, **args), id_col, text_col)
+    return simhash.keep_first(docs, label(docs, id_col, text_col, **args), id_col, text_col)

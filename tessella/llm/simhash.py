@@ -38,6 +38,15 @@ HOME, CELL = 512, 1 << 16
 HASHES, PAIRS = 1 << 14, 1 << 20
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The word whose bits are 1 where over half the hashes have one; zero of no hashes."""
+    counts = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), HASHES):
+        part = np.ascontiguousarray(hashes[at : at + HASHES], dtype="<u8")
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     from xxhash import xxh64_intdigest
 
@@ -51,11 +60,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     ends = np.cumsum(size + 1) - 1
     starts = (ends - size)[: len(words) - shingle + 1].tolist()
     ends = ends[shingle - 1 :].tolist()
-    counts, n = np.zeros(64, dtype=np.int64), len(starts)
-    for at in range(0, n, HASHES):
-        hashes = np.array([xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts[at : at + HASHES], ends[at : at + HASHES])], dtype="<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
+    return majority(np.fromiter((xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts, ends)), dtype=np.uint64, count=len(starts)))
 
 
 def fingerprint_of(text_col: str = "text", shingle: int = SHINGLE) -> Column:
@@ -219,7 +224,7 @@ def keep_first(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) ->
     """One document of each component of `rows`, the label of each document, by the smallest id."""
     # One text for each component: rows of its smallest id, the smallest text key; then whole rows are counted.
     first = rows.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("id", "text_key", "component_id", "fp").agg(F.count("*").alias("rows"))
-    named = first.withColumn("group", F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("null "), F.col("fp").cast("string"))))
+    named = first.withColumn("group", F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("null "), F.hex("fp"))))
     kept = named.groupBy("group").agg(F.min_by(F.struct("id", "text_key", "rows"), "text_key").alias("k")).select("k.*")
     key, many, same_id, same_key = (fresh_name(docs, n) for n in ("text_key_", "rows_", "kept_id_", "kept_key_"))
     keyed = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))

@@ -1,14 +1,20 @@
 """Near-duplicates of the pipeline against all pairs."""
 
 import random
+import re
 from itertools import combinations
 
 import corpus_pipeline
 from tessella.llm import neardup
 
 
+def shingles(text, size=5):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
 def brute(texts, least=0.8):
-    sets = [neardup.shingles((t or "").encode()) for t in texts]
+    sets = [shingles(t) for t in texts]
     label = list(range(len(texts)))
     for i, j in combinations(range(len(texts)), 2):
         union = sets[i] | sets[j]
@@ -38,10 +44,52 @@ def test_near_stage_links_all_at_four_fifths(spark, sf_dir):
     assert sorted(r["doc_id"] for r in near(spark, docs, sf_dir).collect()) == sorted(set(brute(texts)))
 
 
+def test_hubs_alone_are_not_enough(spark):
+    """A group whose smallest node is like few of the others is linked through the pairs that stay open."""
+    draw = random.Random(4)
+    texts = []
+    for _ in range(6):
+        core = [f"w{draw.randrange(5000)}" for _ in range(300)]
+        texts += [" ".join(core[:at] + [f"y{k}{j}" for j in range(8)] + core[at + 8 :]) for k, at in enumerate(range(0, 280, 14))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    label = brute(texts)
+    for cell, block in ((neardup.CELL, neardup.BLOCK), (3, 9000)):
+        assert {r["id"]: r["component_id"] for r in neardup.label(docs, cell=cell, block=block).collect()} == dict(enumerate(label))
+
+
 def test_open_bands_give_all_pairs_across_components(spark):
-    rows = [(1, n, 100 + n % 3) for n in range(12)] + [(2, n, 100) for n in (20, 21)] + [(3, 30, 10), (3, 31, 100)]
-    roots = spark.createDataFrame([(n, n % 4) for n in range(12)] + [(20, 20), (21, 20)], "node long, root long")
-    shared = spark.createDataFrame(rows, "band long, node long, size long")
-    want = sorted((i, j) for i, j in combinations(range(12), 2) if i % 4 != j % 4)
+    node = lambda n: bytes([n])
+    sign, other = bytes(128), bytes(52) + bytes([1]) * 76
+    rows = [(1, node(n), 100 + n % 3, sign) for n in range(12)] + [(2, node(n), 100, sign) for n in (20, 21)] + [(3, node(30), 10, sign), (3, node(31), 100, sign)]
+    rows += [(4, node(40), 100, sign), (4, node(41), 100, other), (4, node(42), 100, other)]
+    roots = spark.createDataFrame([(node(n), node(n % 4)) for n in range(12)] + [(node(20), node(20)), (node(21), node(20))], "node binary, root binary")
+    shared = spark.createDataFrame(rows, "band long, node binary, size long, sign binary")
+    want = sorted([(i, j) for i, j in combinations(range(12), 2) if i % 4 != j % 4] + [(41, 42)])
     for cell in (neardup.CELL, 3):
-        assert sorted(tuple(r) for r in neardup._open_pairs(shared, roots, 0.8, cell).collect()) == want
+        found = neardup._open_pairs(shared, roots, 0.8, neardup.AGREE, cell).collect()
+        assert sorted({tuple(sorted((r["u"][0], r["v"][0]))) for r in found if r["u"] != r["v"]}) == want
+
+
+def test_minima_tell_pairs_apart():
+    """Pairs of similarity 0.8 or more share a band and AGREE minimum hashes."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        both, one = rng.integers(0, 1 << 63, 400, dtype=np.uint64), rng.integers(0, 1 << 63, 50, dtype=np.uint64)
+        a, b = neardup.minima(both), neardup.minima(np.concatenate([both, one, one + np.uint64(1)]))
+        assert (a == b).reshape(neardup.BANDS, -1).all(axis=1).any() and (a.astype(np.uint8) == b.astype(np.uint8)).sum() >= neardup.AGREE
+
+
+def test_long_texts_in_pieces(spark):
+    draw = random.Random(9)
+    words = [f"w{draw.randrange(10**6)}" for _ in range(30_000)]
+    other = words[:]
+    for at in draw.sample(range(30_000), 600):
+        other[at] = "x"
+    docs = spark.createDataFrame([(5, " ".join(words)), (6, " ".join(other)), (7, " ".join(words[:20_000])), (8, "short one")], "doc_id long, text string")
+    assert {r["id"]: r["component_id"] for r in neardup.label(docs).collect()} == {5: 5, 6: 5, 7: 7, 8: 8}
+
+
+def test_near_empty(spark):
+    assert neardup.label(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -2,7 +2,8 @@
 
 import corpus_pipeline
 from tessella.llm import decontam
-from tests.llm.test_operators import brute_components, brute_hits, brute_print
+from tests.llm.test_neardup import brute
+from tests.llm.test_operators import brute_hits
 
 
 def test_stages(spark, sf_dir):
@@ -20,10 +21,7 @@ def test_stages(spark, sf_dir):
     kept = near(spark, kept, sf_dir)
     assert kept.columns == columns
     ids = sorted(rows)
-    label = brute_components([brute_print(rows[i]) for i in ids])
-    first = {}
-    for i, la in zip(ids, label):
-        first.setdefault(la, i)
+    first = {ids[la]: ids[la] for la in brute([rows[i] for i in ids])}
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(first.values())
 
     kept = clean(spark, kept, sf_dir)
