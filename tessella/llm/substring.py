@@ -8,11 +8,14 @@ place, so none is lost, and neighbours mostly share theirs, so few are counted.
 
 Documents are dealt once into chunks, and every level reuses that exchange. A chunk sends each distinct hash once, with
 a mark if it has it at two places, so a passage of very many documents counts once a chunk; hashes meet in ranges, and
-back comes one bit for each. The full length is compared by 96 bits.
+back comes one bit for each. The smallest hash of a window is mixed once more before it is dealt, so that ranges are
+filled evenly. The full length is compared by 96 bits, of two independent hashes of each word.
 
 Words are [^\\x20\\x09-\\x0D]+, unchanged. Defined results: null texts have no words; documents shorter than the window
-keep all; repeated rows repeat each other's windows; windows that overlap in one document count as two places; extra
-columns are ignored; an empty table gives an empty result.
+keep all; texts of any length are read whole (hashed a slice at a time, with some 40 bytes of memory a word of the
+chunk); repeated rows repeat each other's windows, and rows without an id are dealt by their place too; windows that
+overlap in one document count as two places; no result depends on an order, so there are no ties; extra columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,19 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import as_bytes, shuffle_width
+from tessella.llm.common import as_bytes, mix, shuffle_width, word_hashes
 
 WINDOW = 35
-#: Bytes of the source (as the planner knows them) that a chunk has, about; and bytes whose words are hashed at once.
-CHUNK_BYTES, SLICE_BYTES = 4 << 20, 1 << 20
-
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
-_UNBASE = pow(_BASE, -1, 1 << 64)
-_K1, _K2, _K3 = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
-_BYTES = np.random.Generator(np.random.PCG64(35)).integers(1, 1 << 63, 256, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
-
+#: Bytes of the source (as the planner knows them) that a chunk has, about, and that a range of hashes stands for.
+CHUNK_BYTES, RANGE_BYTES = 4 << 20, 32 << 20
 
 def levels(window: int) -> list[int]:
     """Lengths counted in turn: about a quarter of the window, then doubled up to it."""
@@ -46,46 +41,12 @@ def levels(window: int) -> list[int]:
     return out
 
 
-def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x = a * _K1 + (b ^ (b >> np.uint64(29))) * _K2
-    x ^= x >> np.uint64(32)
-    x *= _K3
-    x ^= x >> np.uint64(29)
-    return x
-
-
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all texts, and the number of words of each text."""
-    hashes, counts, part, size = [], [], [], 0
-    for k, text in enumerate(texts):
-        part.append(text)
-        size += len(text) + 1
-        if size >= SLICE_BYTES or k == len(texts) - 1:
-            line = np.frombuffer(b"\n".join(part) + b"\n", dtype=np.uint8)
-            space = _SPACE[line]
-            before = np.r_[True, space[:-1]]
-            start, end = np.flatnonzero(~space & before), np.flatnonzero(space & ~before)
-            power = np.full(len(line), _BASE, dtype=np.uint64)
-            power[0] = 1
-            sums = np.cumsum(_BYTES[line] * np.cumprod(power))
-            sums = np.r_[np.uint64(0), sums]
-            power[1:] = np.uint64(_UNBASE)
-            h = (sums[end] - sums[start]) * np.cumprod(power)[start]
-            hashes.append(_mix(h, (end - start).astype(np.uint64)))
-            limits = np.cumsum([len(p) + 1 for p in part])
-            counts.append(np.diff(np.r_[0, np.searchsorted(start, limits)]))
-            part, size = [], 0
-    if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(hashes), np.concatenate(counts)
-
-
 def _window_hashes(words: np.ndarray, length: int) -> np.ndarray:
     """Hash of the `length` words from each place; the last length - 1 places are missing."""
     now, have = words, 1
     while have < length:
         step = min(have, length - have)
-        now = _mix(now[: len(now) - step], now[step:])
+        now = mix(now[: len(now) - step], now[step:])
         have += step
     return now
 
@@ -105,7 +66,7 @@ class Chunk:
     """Window hashes of a chunk's documents, and which full windows may still be repeated."""
 
     def __init__(self, texts: list[bytes], window: int):
-        self.window = window
+        self.window, self.texts = window, texts
         self.words, self.counts = word_hashes(texts)
         ends = np.cumsum(self.counts)
         last = np.repeat(ends, self.counts)
@@ -120,10 +81,10 @@ class Chunk:
         if length < self.window:
             at = _leftmost_least(h, self.window - length + 1)[self.alive]
             place, back = np.unique(at, return_inverse=True)
-            value, entry, n = np.unique(h[place], return_inverse=True, return_counts=True)
+            dealt = mix(h[place], np.full(len(place), length, dtype=np.uint64))
+            value, entry, n = np.unique(dealt, return_inverse=True, return_counts=True)
             return value, np.zeros(0, np.uint32), n > 1, entry[back]
-        check = (_window_hashes(self.words ^ _K3, length) >> np.uint64(32)).astype(np.uint32)
-        h, check = h[self.alive], check[self.alive]
+        h, check = h[self.alive], self._checks()
         order = np.lexsort((check, h))
         new = np.r_[True, (h[order][1:] != h[order][:-1]) | (check[order][1:] != check[order][:-1])]
         entry = np.empty(len(order), dtype=np.int64)
@@ -131,6 +92,15 @@ class Chunk:
         first = order[new]
         return h[first], check[first], np.bincount(entry) > 1, entry
 
+    def _checks(self) -> np.ndarray:
+        """32 bits of a second hash of each live full window, from the texts that have one."""
+        ends = np.cumsum(self.counts)
+        text = np.searchsorted(ends, self.alive, side="right")
+        mine, nth = np.unique(text, return_inverse=True)
+        words, counts = word_hashes([self.texts[i] for i in mine.tolist()], seed=1)
+        place = self.alive - (ends - self.counts)[text] + (np.cumsum(counts) - counts)[nth]
+        return (_window_hashes(words, self.window)[place] >> np.uint64(32)).astype(np.uint32)
+
     def narrow(self, length: int, repeated: np.ndarray) -> None:
         """Keep the live windows whose entry of this length is repeated."""
         self.alive = self.alive[repeated[self.entries(length)[3]]] if len(repeated) else self.alive[:0]
@@ -223,23 +193,29 @@ def _keep(window: int, done: list[int], id_type: pa.DataType):
     return run
 
 
-def _chunks(docs: DataFrame) -> int:
-    """How many chunks the documents are dealt into: by the planner's size, and one for each shuffle partition at least."""
+def _parts(docs: DataFrame) -> tuple[int, int]:
+    """Chunks of documents and ranges of hashes: by the planner's size, and one of each for each shuffle partition at least."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(shuffle_width(docs.sparkSession), min(size, 1 << 60) // CHUNK_BYTES if size < 1 << 60 else 0, 1)
+    known, width = (size if size < 1 << 60 else 0), shuffle_width(docs.sparkSession)
+    return max(width, known // CHUNK_BYTES), max(width, known // RANGE_BYTES)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, chunks: int | None = None) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, chunks: int | None = None, ranges: int | None = None
+) -> DataFrame:
     """One row per document: id, n_words, n_removed, kept_text (the kept words, joined by one space)."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    n = chunks or _chunks(docs.select(id_col, text_col))
+    by_size = _parts(docs.select(id_col, text_col))
+    n, n_ranges = chunks or by_size[0], ranges or by_size[1]
     kind = docs.schema[id_col].dataType
-    dealt = docs.select(F.col(id_col).alias("id"), as_bytes(text_col).alias("text")).withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int"))
+    nth = F.when(F.col("id").isNull(), F.monotonically_increasing_id())
+    dealt = docs.select(F.col(id_col).alias("id"), as_bytes(text_col).alias("text"))
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("id", "text", nth), F.lit(n)).cast("int"))
     marks: DataFrame | None = None
     done: list[int] = []
     for length in levels(window):
-        send = _send(window, list(done), length, n)
+        send = _send(window, list(done), length, n_ranges)
         if marks is None:
             sent = dealt.groupBy("chunk").applyInArrow(send, "chunk int, part int, n int, sent binary")
         else:
