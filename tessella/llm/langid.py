@@ -6,8 +6,9 @@ each one's rank is from its rank in the profile, or the profile's length where i
 on a bounded sample of labelled rows; every whole text is predicted in the scan, without a shuffle.
 
 Defined results: `und` with score 0 for null texts, texts without letters, and if there are no labelled rows; equal
-distances go to the language first by code point; a null id counts as the empty text in the fold; repeated rows get
-equal predictions; extra columns are ignored or, in `with_language`, kept.
+distances go to the language first by code point, and n-grams that are equally frequent are ranked by their code points;
+texts of any length are counted whole, a slice at a time; a null id counts as the empty text in the fold; repeated rows
+get equal predictions; extra columns are ignored or, in `keep_identified`, kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -116,12 +117,13 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS, profile: int = PROFILE) -> Profiles:
-    """Profiles from about `fit_rows` labelled rows a language, picked by a hash of the row; all rows if there are fewer."""
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS, profile: int = PROFILE) -> Profiles:
+    """Profiles from about `fit_rows` labelled rows a language, picked by a hash of id and text; all rows if there are fewer."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("rows"))
+    row = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("/"), F.col(text_col))
     picked = (
-        rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 20)).alias("pick"))
+        rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.conv(F.substring(F.md5(row.cast("binary")), 1, 5), 16, 10).cast("long").alias("pick"))
         .join(F.broadcast(sizes), "lang")  # a row a language
         .where(F.col("pick") * F.col("rows") < F.lit(fit_rows * (1 << 20)))
         .select("lang", as_bytes("text").alias("text"))
@@ -153,7 +155,7 @@ def language_of(profiles: Profiles, text_col: str = "text") -> Column:
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **fit_args: int) -> DataFrame:
     """One row per document: id, held_out, lang_pred, score; fitted on the rows outside the fold."""
-    profiles = fit(docs.where(~held_out(id_col)).select(id_col, text_col, lang_col), text_col, lang_col, **fit_args)
+    profiles = fit(docs.where(~held_out(id_col)).select(id_col, text_col, lang_col), id_col, text_col, lang_col, **fit_args)
     found = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), language_of(profiles, text_col).alias("found"))
     return found.select(id_col, "held_out", "found.lang_pred", "found.score")
 
@@ -166,6 +168,6 @@ def keep_identified(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_score: float = LEAST_SCORE, **fit_args: int
 ) -> DataFrame:
     """The documents whose language is identified with `least_score` or more, with all columns; fitted on their own labels outside the fold."""
-    profiles = fit(docs.where(~held_out(id_col)).select(id_col, text_col, lang_col), text_col, lang_col, **fit_args)
+    profiles = fit(docs.where(~held_out(id_col)).select(id_col, text_col, lang_col), id_col, text_col, lang_col, **fit_args)
     found = language_of(profiles, text_col)
     return docs.where((found["lang_pred"] != UNDETERMINED) & (found["score"] >= least_score))

@@ -50,9 +50,9 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit(EXTRA_TEXT).alias("text"),
     )
-    path = shared_dir(spark)
-    chat.write_chats(rows.unionByName(extra), path, tokenizer_path("byte_bpe_50k.json"))
-    return chat.chat_digests(spark, path)
+    path, tokenizer = shared_dir(spark), tokenizer_path("byte_bpe_50k.json")
+    chat.write_chats(rows.unionByName(extra), path, tokenizer)
+    return chat.chat_digests(spark, path, tokenizer)
 
 
 def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,38 +107,74 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 def _licence_sql() -> str:
     known = ", ".join(f"({i}, '{text}')" for i, text in licences.SENTENCES.items())
     rules = ", ".join(f"('{name}', {list(ids)})" for name, ids in licences.RULES)
-    norm = f"trim(regexp_replace({_LOWER.replace('coalesce(text, ' + chr(39) * 2 + ')', 'piece')}, '[^a-z0-9.+-]+', ' ', 'g'), ' .')"
+    neutral = ", ".join(map(str, sorted(licences.NEUTRAL)))
+    norm = f"trim(regexp_replace({_LOWER.replace('coalesce(text, ' + chr(39) * 2 + ')', 'piece')}, '[^a-z0-9.+-]+', ' ', 'g'), ' .-')"
+    bullets = r"'^(([0-9]+\.?|-|[a-z]\.) )+'"
+    # A join longer than every known sentence can't become one.
     return rf"""
         WITH RECURSIVE known(id, s) AS (VALUES {known}), rules(name, ids) AS (VALUES {rules}),
         d AS (SELECT row_number() OVER () AS k, doc_id,
                      string_split_regex(regexp_replace(coalesce(text, ''), '([.!?;])[\t\x0B\f\r ]+', '\1' || chr(10), 'g'), '\n+') AS raw FROM documents),
-        pieces AS (SELECT k, unnest(raw) AS piece, unnest(range(len(raw))) AS i FROM (SELECT k, list_filter(raw, lambda x: x <> '') AS raw FROM d)),
-        normed AS (SELECT k, i, right(piece, 1) IN ('.', '!', '?', ';') AS ended, CASE WHEN t = 'copyright' OR starts_with(t, 'copyright ') THEN 'copyright' ELSE t END AS t
-                   FROM (SELECT *, {norm} AS t FROM pieces)),
-        grown AS (SELECT n.k, n.i, 1 AS size, n.ended, n.t, known.id
-                  FROM normed n LEFT JOIN known ON s = t OR s = regexp_replace(t, '^(([0-9]+\.?|[*-]|[a-z]\.) )+', '')
+        pieces AS (SELECT k, unnest(raw) AS piece, unnest(range(len(raw))) AS nth FROM d),
+        normed AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY nth) - 1 AS i, ended, t
+                   FROM (SELECT k, nth, right(piece, 1) IN ('.', '!', '?', ';') AS ended, {norm} AS t FROM pieces) WHERE t <> ''),
+        firsts AS (SELECT DISTINCT split_part(s, ' ', 1) AS w FROM known),
+        begun AS (SELECT k, i, ended, t, regexp_replace(t, {bullets}, '') AS u FROM normed),
+        grown AS (SELECT b.k, b.i, 1 AS size, b.ended, b.t, b.u, coalesce(known.id, CASE WHEN split_part(u, ' ', 1) = 'copyright' THEN {licences.COPYRIGHT} END) AS id
+                  FROM begun b LEFT JOIN known ON s = u
+                  WHERE split_part(u, ' ', 1) IN (SELECT w FROM firsts) OR regexp_full_match(u, '[0-9]+\.?|-|[a-z]\.')
                   UNION ALL
-                  SELECT g.k, g.i, g.size + 1, n.ended, trim(g.t || ' ' || n.t), known.id
-                  FROM grown g JOIN normed n ON n.k = g.k AND n.i = g.i + g.size
-                  LEFT JOIN known ON s = trim(g.t || ' ' || n.t) OR s = regexp_replace(trim(g.t || ' ' || n.t), '^(([0-9]+\.?|[*-]|[a-z]\.) )+', '')
-                  WHERE g.id IS NULL AND NOT g.ended AND length(g.t) < {licences._LONGEST} AND g.size < 16),
-        hits AS (SELECT k, i, size, id FROM grown WHERE id IS NOT NULL),
+                  SELECT g.k, g.i, g.size, g.ended, g.t, g.u, known.id
+                  FROM (SELECT g.k, g.i, g.size + 1 AS size, n.ended, g.t || ' ' || n.t AS t, regexp_replace(g.t || ' ' || n.t, {bullets}, '') AS u
+                        FROM grown g JOIN normed n ON n.k = g.k AND n.i = g.i + g.size
+                        WHERE NOT g.ended AND length(g.u) < {max(map(len, licences.SENTENCES.values()))}) g
+                  LEFT JOIN known ON s = u),
+        hits AS (SELECT k, i, size, id FROM grown WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY k, i ORDER BY size DESC) = 1),
         chain AS (SELECT k, i + size AS reach, [id] AS ids FROM hits QUALIFY row_number() OVER (PARTITION BY k ORDER BY i) = 1
                   UNION ALL
                   (SELECT c.k, h.i + h.size, c.ids || CASE WHEN h.i - c.reach > {licences.MAX_GAP} THEN [0, h.id] ELSE [h.id] END
                    FROM chain c JOIN hits h ON h.k = c.k AND h.i >= c.reach QUALIFY row_number() OVER (PARTITION BY c.k ORDER BY h.i) = 1)),
-        found AS (SELECT k, ids FROM chain QUALIFY row_number() OVER (PARTITION BY k ORDER BY len(ids) DESC) = 1),
-        walk AS (SELECT k, ids, 1 AS j, CAST([] AS VARCHAR[]) AS names FROM found
+        found AS (SELECT k, len(ids) AS n, list_filter(ids, lambda x: x NOT IN ({neutral})) AS ids
+                  FROM chain QUALIFY row_number() OVER (PARTITION BY k ORDER BY len(chain.ids) DESC) = 1),
+        walk AS (SELECT k, n, ids, 1 AS j, CAST([] AS VARCHAR[]) AS names FROM found
                  UNION ALL
-                 (SELECT w.k, w.ids, w.j + coalesce(len(r.ids), 1), CASE WHEN r.name IS NULL THEN w.names ELSE w.names || [r.name] END
-                  FROM walk w LEFT JOIN rules r ON w.ids[w.j:w.j + len(r.ids) - 1] = r.ids WHERE w.j <= len(w.ids)
+                 (SELECT w.k, w.n, w.ids, w.j + coalesce(len(r.ids), 1), CASE WHEN r.name IS NULL THEN w.names ELSE w.names || [r.name] END
+                  FROM walk w LEFT JOIN rules r ON w.ids[w.j] = r.ids[1] AND w.ids[w.j:w.j + len(r.ids) - 1] = r.ids WHERE w.j <= len(w.ids)
                   QUALIFY row_number() OVER (PARTITION BY w.k ORDER BY len(r.ids) DESC NULLS LAST) = 1)),
-        done AS (SELECT k, ids, names FROM walk WHERE j > len(ids))
-        SELECT doc_id, coalesce(len(ids), 0) AS n_sentences, coalesce(len(names), 0) AS n_licences,
+        done AS (SELECT k, n, names FROM walk WHERE j > len(ids))
+        SELECT doc_id, coalesce(n, 0) AS n_sentences, coalesce(len(names), 0) AS n_licences,
                coalesce(array_to_string(list_sort(list_distinct(names)), ','), '') AS licences FROM d LEFT JOIN done USING (k)"""
 
 
+def _language_sql() -> str:
+    """Profiles, ranks and out-of-place sums; n-grams are packed as 21 bits a code point, as the operator has them."""
+    return rf"""
+        WITH crc AS (SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, (c & 1) * 3988292384)) ORDER BY n) AS tbl FROM range(256) t(n)),
+        d AS (SELECT row_number() OVER () AS k, doc_id, text, lang,
+                     xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), ''), ''), lambda x: unicode(x)::BIGINT)),
+                                                 lambda c, b: xor(tbl[(xor(c, b) & 255) + 1], c >> 8))) % 4 = 2 AS held_out
+              FROM documents, crc),
+        padded AS (SELECT k, list_transform(string_split(' ' || array_to_string(w, ' ') || ' ', ''), lambda x: unicode(x)::BIGINT) AS p
+                   FROM (SELECT k, regexp_extract_all(lower(coalesce(text, '')), '\p{{L}}+') AS w FROM d) WHERE len(w) > 0),
+        spots AS (SELECT k, unnest(p) AS a, unnest(p[2:] || [NULL]) AS b, unnest(p[3:] || [NULL, NULL]) AS c FROM padded),
+        grams AS (SELECT k, gram, count(*) AS n
+                  FROM (SELECT k, a AS gram FROM spots WHERE a <> 32
+                        UNION ALL SELECT k, a * 2097152 + b FROM spots WHERE b IS NOT NULL
+                        UNION ALL SELECT k, (a * 2097152 + b) * 2097152 + c FROM spots WHERE b <> 32 AND c IS NOT NULL) GROUP BY k, gram),
+        labelled AS (SELECT k, lang, CAST('0x' || md5(coalesce(CAST(doc_id AS VARCHAR), '') || '/' || text)[1:5] AS BIGINT) AS pick, count(*) OVER (PARTITION BY lang) AS rows
+                     FROM d WHERE NOT held_out AND lang IS NOT NULL AND text IS NOT NULL),
+        counted AS (SELECT lang, gram, sum(n) AS n FROM labelled JOIN grams USING (k) WHERE pick * rows < {langid.FIT_ROWS << 20} GROUP BY lang, gram),
+        profile AS (SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) - 1 AS rank FROM counted QUALIFY rank < {langid.PROFILE}),
+        own AS (SELECT k, gram, row_number() OVER (PARTITION BY k ORDER BY n DESC, gram) - 1 AS place FROM grams QUALIFY place < {langid.TOP}),
+        apart AS (SELECT k, l.lang, count(*) AS n, sum(coalesce(least(abs(rank - place), {langid.PROFILE}), {langid.PROFILE})) AS apart
+                  FROM own CROSS JOIN (SELECT DISTINCT lang FROM profile) l LEFT JOIN profile p ON p.lang = l.lang AND p.gram = own.gram GROUP BY k, l.lang),
+        best AS (SELECT * FROM apart QUALIFY row_number() OVER (PARTITION BY k ORDER BY apart, lang) = 1)
+        SELECT doc_id, held_out, coalesce(best.lang, '{langid.UNDETERMINED}') AS lang_pred, coalesce(1e0 - CAST(apart AS DOUBLE) / ({langid.PROFILE} * n), 0e0) AS score
+        FROM d LEFT JOIN best USING (k)"""
+
+
 SQL: dict[str, str] = {
+    "op1_language_id": _language_sql(),
     "op2_benchmark_decontamination": rf"""
         WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
         b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),

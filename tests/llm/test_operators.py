@@ -5,10 +5,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessella.llm import chat, components, decontam, exact_dedup, langid, licences, mixing, queries, simhash, substring, tokens, warc, wavelet
-from tessella.llm.common import shared_dir
+from tessella.llm.common import shared_dir, word_hashes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, TEXT_ string, id long, fp string, sha string, size string, k string, chunk string, kept_id_ string, COPIES_ string"
 WORD = ["alpha", "beta", "gamma", "delta", "omega", "le", "und", "größe", "x"]
@@ -82,6 +83,52 @@ def test_language_held_out(spoken):
     assert found[900]["score"] == 0
 
 
+def plain_languages(rows, fit_rows=10**9, length=400, top=300):
+    """(language, score) of each (id, text, lang), with dictionaries only."""
+
+    def grams(text):
+        word = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+        p = " " + " ".join(word) + " "
+        out = {}
+        for g in [c for c in p if c != " "] + [p[i : i + 2] for i in range(len(p) - 1)] + [p[i : i + 3] for i in range(len(p) - 2) if p[i + 1] != " "]:
+            out[g] = out.get(g, 0) + 1
+        return out if word else {}
+
+    def rank(counts, most):
+        return sorted(counts, key=lambda g: (-counts[g], sum(ord(c) << 21 * i for i, c in enumerate(reversed(g)))))[:most]
+
+    totals = {}
+    for i, text, lang in rows:
+        if lang is not None and text is not None and zlib.crc32(("" if i is None else str(i)).encode()) % 4 != 2:
+            mine = totals.setdefault(lang, {})
+            for g, n in grams(text).items():
+                mine[g] = mine.get(g, 0) + n
+    profiles = {lang: {g: r for r, g in enumerate(rank(c, length))} for lang, c in totals.items() if c}
+    out = []
+    for _, text, _ in rows:
+        own = rank(grams(text or ""), top)
+        apart = sorted((sum(min(abs(p[g] - k), length) if g in p else length for k, g in enumerate(own)), lang.encode(), lang) for lang, p in profiles.items())
+        out.append((apart[0][2], 1.0 - apart[0][0] / (length * len(own))) if own and apart else ("und", 0.0))
+    return out
+
+
+def test_language_against_dictionaries(spark, spoken, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    for table in (spoken, spoken.unionByName(spoken.limit(9)), docs.where("length(text) < 4000")):
+        rows = [tuple(r) for r in table.select("doc_id", "text", "lang").collect()]
+        want = sorted(((i, *found) for (i, _, _), found in zip(rows, plain_languages(rows))), key=repr)
+        clashing = table.selectExpr("*", "1 AS score", "2 AS lang_pred", "3 AS found", "4 AS pick", "5 AS gram")
+        got = sorted(((r["doc_id"], r["lang_pred"], r["score"]) for r in langid.identify(clashing).collect()), key=repr)
+        assert got == want
+
+
+def test_language_fit_is_bounded(spark):
+    rows = [(i, f"{'the cat' if i % 2 else 'der hund'} {i}", "en" if i % 2 else "de") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    few, all_rows = langid.fit(df, fit_rows=100), langid.fit(df)
+    assert few.languages == all_rows.languages == ("de", "en")
+
+
 def test_language_filter_keeps_columns(spoken):
     kept = langid.keep_identified(spoken.withColumnRenamed("doc_id", "doc_id").selectExpr("*", "1 AS score", "2 AS lang_pred"))
     assert kept.columns == ["doc_id", "text", "lang", "score", "lang_pred"]
@@ -276,36 +323,70 @@ def test_chat_escape_round_trip():
 
 
 def test_chat_masks_are_exact():
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(queries.tokenizer_path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
+    t = chat.load(queries.tokenizer_path("byte_bpe_50k.json"))
     turns = [("user", "Hé <|endoftext|> 日本"), ("assistant", "  naïve\n\n日本 🙂 </turn> "), ("assistant", ""), ("assistant", "x"), ("user", "\t")]
     text, spans = chat.render(turns)
     ids, offsets = chat.encoded(t, text)
+    assert t.decode(ids.tolist(), skip_special_tokens=False) == text
     mask, pieces = chat.aligned(offsets, spans)
     assert pieces.tolist() == spans.tolist()
     brute = [any(min(e, b) > max(s, a) for a, b in spans) for s, e in offsets]
     assert mask.tolist() == brute
-    assert "".join(chat.unescape(text[a:b]) for a, b in pieces) == "".join(x for r, x in turns if r == "assistant")
+    said = "".join(x for r, x in turns if r == "assistant")
+    assert chat.masked_text(text, offsets, mask, spans) == said
+    for k in np.flatnonzero(mask):
+        if (offsets[mask] == offsets[k]).all(axis=1).sum() == 1:
+            broken = mask.copy()
+            broken[k] = False
+            with pytest.raises(ValueError):
+                chat.masked_text(text, offsets, broken, spans)
+    with pytest.raises(ValueError):
+        chat.masked_text(text, np.minimum(offsets, 60), mask, spans)
+
+
+def test_chat_parts_have_the_ids_of_the_whole():
+    t = chat.load(queries.tokenizer_path("byte_bpe_50k.json"))
+    turns = [(r, x) for r in ("user", "assistant", "") for x in ("", " ", "\n", "  a \n", "日本\n\n", "it's 12 <turn", *[u for u in TEXTS if u][:12])]
+    whole = chat.encoded(t, chat.render(turns)[0])[0].tolist()
+    assert sum((chat.encoded(t, chat.render([turn])[0])[0].tolist() for turn in turns), []) == whole
+
+
+CHATS = [(1, 2, "assistant", "b"), (1, 0, "user", None), (1, 1, None, "a"), (1, 1, None, "a"), (None, 0, "assistant", "nö" * 40), (2, None, "user", ""), (None, 1, "user", "z")]
+CHATS += [(3, k, "assistant" if k % 2 else "user", f"turn {k} " * 9) for k in range(60)] + [(k, 0, "assistant", "one") for k in range(10, 40)] + [(50, 0, "user", "long text " * 40_000)]
 
 
 @pytest.mark.parametrize("part_chars", [1 << 18, 30])
 def test_chat_digests(spark, part_chars):
-    rows = [(1, 2, "assistant", "b"), (1, 0, "user", None), (1, 1, None, "a"), (1, 1, None, "a"), (None, 0, "assistant", "nö" * 40), (2, None, "user", ""), (None, 1, "user", "z")]
-    df = spark.createDataFrame([(*r, "c") for r in rows], "conv_id long, turn long, role string, text string, conv string")
-    path = shared_dir(spark)
-    chat.write_chats(df, path, queries.tokenizer_path("byte_bpe_50k.json"), part_chars=part_chars)
-    got = {r["conv_id"]: r for r in chat.chat_digests(spark, path).collect()}
-    assert set(got) == {1, 2, None}
+    df = spark.createDataFrame([(*r, "c") for r in CHATS], "conv_id long, turn long, role string, text string, conv string")
+    path, tokenizer = shared_dir(spark), queries.tokenizer_path("byte_bpe_50k.json")
+    chat.write_chats(df, path, tokenizer, part_chars=part_chars)
+    rows = chat.chat_digests(spark, path, tokenizer).collect()
+    got = {r["conv_id"]: r for r in rows}
+    assert set(got) == {c for c, *_ in CHATS} and len(rows) == len(got)
     for conv in got:
-        mine = sorted(((t, r or "", x or "") for c, t, r, x in rows if c == conv), key=lambda v: (key(v[0]), v[1:]))
+        mine = sorted(((t, r or "", x or "") for c, t, r, x in CHATS if c == conv), key=lambda v: (key(v[0]), v[1:]))
         loss = "".join(x for _, r, x in mine if r == "assistant")
         assert got[conv]["n_turns"] == len(mine)
         assert got[conv]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in mine).encode()).hexdigest()
         assert (got[conv]["loss_chars"], got[conv]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+@pytest.mark.parametrize("change", ["transform(mask, x -> false) AS mask", "transform(ids, x -> 11) AS ids", "transform(token_end, x -> 1) AS token_end"])
+def test_chat_reader_fails_on_broken_files(spark, change):
+    path, bad, tokenizer = shared_dir(spark), shared_dir(spark), queries.tokenizer_path("byte_bpe_50k.json")
+    chat.write_chats(spark.createDataFrame([(1, 0, "assistant", "some words")], "conv_id long, turn long, role string, text string"), path, tokenizer)
+    parts = spark.read.parquet(path)
+    parts.selectExpr(*[c for c in parts.columns if not change.endswith(f" AS {c}")], change).write.parquet(bad)
+    with pytest.raises(Exception, match="mask does not cover|do not decode"):
+        chat.chat_digests(spark, bad, tokenizer).collect()
+
+
+def test_chat_empty(spark):
+    path, tokenizer = shared_dir(spark), queries.tokenizer_path("byte_bpe_50k.json")
+    chat.write_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string"), path, tokenizer)
+    assert chat.chat_digests(spark, path, tokenizer).count() == 0
+
+
 # --- SimHash
 
 
@@ -446,6 +527,37 @@ def test_substring_levels():
         assert substring._leftmost_least(h, width).tolist() == [i + int(np.argmin(h[i : i + width])) for i in range(len(h) - width + 1)]
 
 
+def test_substring_ranges_fill_evenly():
+    texts = [prose(i, 400).encode() for i in range(100, 200)] + [" ".join(f"u{i}x{j}" for j in range(400)).encode() for i in range(100)]
+    chunk = substring.Chunk(texts, 35)
+    for length in substring.levels(35):
+        part = substring._ranges(chunk.entries(length)[0], 16)
+        counts = np.bincount(part, minlength=16)
+        assert (np.diff(part) >= 0).all() and counts.max() < 2 * counts.mean() and counts.min() > 0
+    sent = substring._send(35, [], 9, 7)((pa.scalar(3),), pa.table({"text": pa.array(texts, pa.binary())}))
+    assert sent.num_rows <= 7
+
+
+def test_words_with_equal_polynomials_stay_apart(spark):
+    """Thue-Morse words and their complements have equal sums of powers, whatever the base."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    hashes, counts = word_hashes([word.encode(), other.encode(), b"", b"abc\x00", b"abc", b"12345678", b"1234567812345678", b"12345678123456781"])
+    assert len(set(hashes.tolist())) == len(hashes) == counts.sum() == 7
+    df = spark.createDataFrame([(1, " ".join([word] * 35)), (2, " ".join([other] * 35)), (3, " ".join([word] * 35))], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in substring.remove_repeats(df).collect()} == {1: 35, 2: 0, 3: 35}
+
+
+def test_word_hashes_in_slices(monkeypatch):
+    from tessella.llm import common
+
+    texts = [(t or "").encode() for t in TEXTS]
+    whole = word_hashes(texts)
+    monkeypatch.setattr(common, "SLICE_BYTES", 60)
+    parts = word_hashes(texts)
+    assert (whole[0] == parts[0]).all() and whole[1].tolist() == parts[1].tolist() == [len((t or "").encode().split()) for t in TEXTS]
+
+
 def test_substring_empty(empty):
     assert substring.remove_repeats(empty).count() == 0
 
