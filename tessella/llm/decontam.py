@@ -3,11 +3,14 @@
 Test strings are windows of `window` consecutive words of the benchmark items; an item of fewer words is one string.
 For each string length m a shift table maps a block of BLOCK words to the distance the search may jump, blocks that end
 a string have shift 0 and lead to a bucket keyed by that suffix block, and the bucket's strings are compared word by
-word. Documents stream through unshuffled. The benchmark is read in slabs of bounded bytes, one pass chained per slab.
+word. Documents stream through unshuffled. The benchmark is read once, in slabs of bounded bytes (an item longer than that is
+a slab of its own); SLABS of them are searched in one pass over the documents, and what is found is written between passes.
 
 Defined results: words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after lower-casing A-Z; null or wordless documents have
 no hits, null or wordless items no strings; rows of one item_id count as one item, and so do those without an id, which
-items_sha256 passes over; repeated documents are each searched; extra columns are ignored; an empty benchmark hits nothing.
+items_sha256 passes over; texts of any length are searched whole; no result depends on an order, so there are no ties;
+repeated documents are each searched; extra columns are ignored; an empty benchmark hits nothing, an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -20,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import as_bytes
+from tessella.llm.common import as_bytes, materialise
 
 WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW, BLOCK = 10, 2
 #: Bytes of benchmark text whose tables are broadcast together.
 SLAB_BYTES = 4 << 20
+#: Slabs that one pass over the documents searches, each in a worker of its own.
+SLABS = 4
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -106,13 +111,10 @@ def _search(shared):
                 found = [(at, s) for t in tables for at, s in t.occurrences(words)] if words else []
                 spans.append([x for at, s in found for x in (at, at + len(s))])
                 items.append(sorted({i for _, s in found for i in windows[s]}, key=_order))
-            new = {"spans": pa.array(spans, pa.list_(pa.int64())), "items": pa.array(items, pa.list_(pa.string()))}
-            old = {n: batch.column(n) for n in batch.schema.names}
-            if "spans" in old:
-                for n in new:
-                    new[n] = pa.array([(a or []) + b for a, b in zip(old[n].to_pylist(), new[n].to_pylist())], new[n].type)
-            columns = old | new
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+            spans = [a + b for a, b in zip(batch.column("spans").to_pylist(), spans)]
+            items = [a + b for a, b in zip(batch.column("items").to_pylist(), items)]
+            columns = [batch.column("id"), batch.column("text"), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "text", "spans", "items"])
 
     return run
 
@@ -140,11 +142,15 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _slabs(benchmark: DataFrame, item_col: str, text_col: str, slab_bytes: int) -> Iterator[list[tuple[str | None, bytes]]]:
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), as_bytes(text_col).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // slab_bytes))
-    for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        yield [(r["item"], bytes(r["text"])) for r in part.collect()]  # about slab_bytes
+    slab, size = [], 0
+    for row in items.toLocalIterator():  # a partition at a time
+        slab.append((row["item"], bytes(row["text"])))
+        size += len(slab[-1][1])
+        if size >= slab_bytes:
+            yield slab
+            slab, size = [], 0
+    if slab:
+        yield slab
 
 
 def find_contamination(
@@ -161,7 +167,10 @@ def find_contamination(
     context = docs.sparkSession.sparkContext
     id_type = docs.schema[id_col].dataType.simpleString()
     found = docs.select(F.col(id_col).alias("id"), as_bytes(text_col).alias("text"))
-    for slab in _slabs(benchmark, item_col, item_text_col, slab_bytes):
+    found = found.select("id", "text", F.array().cast("array<bigint>").alias("spans"), F.array().cast("array<string>").alias("items"))
+    for k, slab in enumerate(_slabs(benchmark, item_col, item_text_col, slab_bytes)):
+        if k and k % SLABS == 0:
+            found = materialise(found)
         windows = context.broadcast(item_windows(slab, window))
         found = found.mapInArrow(_search(windows), f"id {id_type}, text binary, spans array<bigint>, items array<string>")
     out = found.mapInArrow(
@@ -197,6 +206,8 @@ def drop_contaminated(
 ) -> DataFrame:
     """The documents without any occurrence of a test string, with all columns."""
     context = docs.sparkSession.sparkContext
-    for slab in _slabs(benchmark, item_col, item_text_col, slab_bytes):
+    for k, slab in enumerate(_slabs(benchmark, item_col, item_text_col, slab_bytes)):
+        if k and k % SLABS == 0:
+            docs = materialise(docs)
         docs = docs.where(~_is_hit(context.broadcast(item_windows(slab, window)))(as_bytes(text_col)))
     return docs

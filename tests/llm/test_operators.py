@@ -182,7 +182,8 @@ ITEMS = [(None, prose(3, 40)), (1, BASE[:150]), (2, "one"), (10, "größe äö")
 
 @pytest.mark.parametrize("slab_bytes", [1 << 20, 60])
 @pytest.mark.parametrize("window", [10, 3])
-def test_decontamination(spark, docs, slab_bytes, window):
+def test_decontamination(spark, docs, slab_bytes, window, monkeypatch):
+    monkeypatch.setattr(decontam, "SLABS", 2)
     more = docs.unionByName(spark.createDataFrame(rows_of(["rep " * 40, "x " + "rep " * 9 + "y", "alpha1 alpha1 alpha1"], ids=[50, 51, 52]), SCHEMA))
     bench = spark.createDataFrame([(*i, "c") for i in ITEMS], "item_id long, text string, doc_id string")
     found = decontam.find_contamination(more, bench, window=window, slab_bytes=slab_bytes).collect()
@@ -294,9 +295,10 @@ def test_licence_break_between_distant_sentences():
 # --- exact deduplication
 
 
-@pytest.mark.parametrize("bits", [16, 1])
-def test_exact_groups(docs, bits):
-    got = sorted((tuple(r) for r in exact_dedup.group_exact(docs, bits_per_row=bits).collect()), key=repr)
+@pytest.mark.parametrize(("bits", "most", "spread"), [(16, 1 << 20, 1 << 14), (1, 1 << 20, 1), (1 << 14, 1 << 14, 2)])
+def test_exact_groups(spark, docs, bits, most, spread):
+    docs = docs.unionByName(spark.createDataFrame(rows_of(["many"] * 7 + [None] * 5, ids=[None] * 7 + [70] * 5), SCHEMA))
+    got = sorted((tuple(r) for r in exact_dedup.group_exact(docs, bits_per_row=bits, max_filter_bytes=most, spread=spread).collect()), key=repr)
     lower = lambda t: (t or "").encode().lower()
     all_rows, want, done = collected(docs), [], set()
     for i, t in all_rows:
@@ -308,6 +310,14 @@ def test_exact_groups(docs, bits):
     assert got == sorted(want, key=repr)
 
 
+def test_exact_shuffles_few_unique_rows(spark):
+    """Each range has a plane of its own, so that few unique rows look repeated at any number of rows."""
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(20_000)], "doc_id long, text string")
+    hashed = rows.selectExpr("doc_id AS id", "cast(text AS binary) AS text").mapInArrow(exact_dedup._digests(3), "id long, sha binary, at int")
+    looked = exact_dedup._looked_up(exact_dedup.materialise(hashed), 3, 2, "bigint")
+    assert looked.count() == 20_000 and looked.where("maybe").count() < 400
+
+
 def test_exact_empty(empty):
     assert exact_dedup.group_exact(empty).count() == 0
 
