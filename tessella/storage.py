@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh path below spark.checkpoint.dir; a temporary folder is set as that only if the session has none."""
+    """A fresh path below spark.checkpoint.dir; a temporary folder is set as that only if a local session has none."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         own = spark.sparkContext.getCheckpointDir()
         if own is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessella-checkpoint-"))
             own = spark.sparkContext.getCheckpointDir()
         root = os.path.dirname(own.rstrip("/"))
