@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -85,9 +86,15 @@ def histogram(chips: DataFrame, key: str, px: str, bins: int = 256) -> DataFrame
 def histogram_vector(px: Column, bins: int = 256) -> Column:
     """Dense histogram of one array of pixels."""
 
-    @F.pandas_udf("array<double>")
-    def run(column: pd.Series) -> pd.Series:
-        return column.map(lambda a: np.bincount(np.asarray(a, dtype=np.int64), minlength=bins)[:bins].astype(float))
+    @F.arrow_udf("array<double>")
+    def run(column: pa.Array) -> pa.Array:
+        # All arrays of a batch are counted at once, by array and value.
+        sizes = np.diff(column.offsets.to_numpy())
+        values = np.asarray(column.flatten()).astype(np.int64)
+        row = np.repeat(np.arange(len(column)), sizes)
+        kept = (values >= 0) & (values < bins)
+        counts = np.bincount(row[kept] * bins + values[kept], minlength=len(column) * bins).astype(float)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(column) + 1) * bins, pa.int32()), pa.array(counts))
 
     return run(px)
 

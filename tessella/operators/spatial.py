@@ -4,45 +4,48 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.geometry import inside, overlaps
 
-#: Cells that one box may be listed in; boxes over more cells are joined on a coarser grid of their own.
+#: Cells that one box may be listed in, about; a box over more is listed in the cells of a coarser grid.
 MOST_CELLS = 256
+#: How much coarser each grid is than the one before, and how many there are beside the finest.
+COARSER, LEVELS = 16, 6
 
 
-def _cells(df: DataFrame, box: list[str], cell: float) -> DataFrame:
-    """df once for each grid cell that its box touches."""
-    x0, y0, x1, y1 = (F.floor(F.col(c) / F.lit(float(cell))) for c in box)
-    return df.withColumn("_cx", F.explode(F.sequence(x0, x1))).withColumn("_cy", F.explode(F.sequence(y0, y1)))
+def _level(box: list[str], cell: float) -> Column:
+    """The finest grid in which the box is in few cells."""
+    x0, y0, x1, y1 = map(F.col, box)
+    fits = [((x1 - x0) / F.lit(cell * COARSER**k) + 1) * ((y1 - y0) / F.lit(cell * COARSER**k) + 1) <= MOST_CELLS for k in range(LEVELS)]
+    return F.coalesce(*[F.when(f, F.lit(k)) for k, f in enumerate(fits)], F.lit(LEVELS))
 
 
-def _pairs(left: DataFrame, right: DataFrame, lbox: list[str], rbox: list[str], cell: float) -> DataFrame:
-    a, b = _cells(left, lbox, cell), _cells(right, rbox, cell)
-    joined = a.join(b, ["_cx", "_cy"])
-    # A pair that shares several cells is kept in the one with the lower-left corner of what both cover.
-    owner = (F.floor(F.greatest(F.col(lbox[0]), F.col(rbox[0])) / F.lit(float(cell))) == F.col("_cx")) & (
-        F.floor(F.greatest(F.col(lbox[1]), F.col(rbox[1])) / F.lit(float(cell))) == F.col("_cy")
-    )
-    return joined.where(overlaps([F.col(c) for c in lbox], [F.col(c) for c in rbox]) & owner).drop("_cx", "_cy")
-
-
-def _spread(box: list[str], cell: float) -> Column:
-    x0, y0, x1, y1 = (F.floor(F.col(c) / F.lit(float(cell))) for c in box)
-    return (x1 - x0 + 1) * (y1 - y0 + 1)
+def _cells(df: DataFrame, box: list[str], cell: float, own: str, other: str, others: list[int]) -> DataFrame:
+    """df once for each level that the other side has and each cell, of the coarser grid of the two, that its box touches."""
+    rows = df.withColumn(own, _level(box, cell)).withColumn(other, F.explode(F.array(*map(F.lit, others))))
+    width = F.lit(float(cell)) * F.pow(F.lit(float(COARSER)), F.greatest(own, other))
+    x0, y0, x1, y1 = (F.floor(F.col(c) / width) for c in box)
+    return rows.withColumn("_cx", F.explode(F.sequence(x0, x1))).withColumn("_cy", F.explode(F.sequence(y0, y1)))
 
 
 def join_overlapping(left: DataFrame, right: DataFrame, lbox: list[str], rbox: list[str], cell: float) -> DataFrame:
     """Inner join of boxes that share a point; the columns of both sides have different names.
 
-    Boxes meet in grid cells of about the usual box's size. Right boxes over more than MOST_CELLS cells would be listed
-    too often there; they meet the left in a grid sixteen times as coarse.
+    Boxes meet in grid cells of about the usual box's size. A box of either side over more than MOST_CELLS cells has a
+    coarser grid, of LEVELS + 1, and two boxes meet in the coarser of their grids; a crowded cell is left to the
+    skew join of adaptive execution.
     """
-    small = right.where(_spread(rbox, cell) <= MOST_CELLS)
-    large = right.where(_spread(rbox, cell) > MOST_CELLS)
-    return _pairs(left, small, lbox, rbox, cell).unionByName(_pairs(left, large, lbox, rbox, cell * 16))
+    levels = [sorted(r[0] for r in df.select(_level(box, cell)).distinct().collect()) for df, box in ((left, lbox), (right, rbox))]  # LEVELS + 1 at most
+    a = _cells(left, lbox, cell, "_ll", "_rl", levels[1])
+    b = _cells(right, rbox, cell, "_rl", "_ll", levels[0])
+    # A pair that shares several cells is kept in the one with the lower-left corner of what both cover.
+    width = F.lit(float(cell)) * F.pow(F.lit(float(COARSER)), F.greatest("_ll", "_rl"))
+    owner = (F.floor(F.greatest(F.col(lbox[0]), F.col(rbox[0])) / width) == F.col("_cx")) & (F.floor(F.greatest(F.col(lbox[1]), F.col(rbox[1])) / width) == F.col("_cy"))
+    joined = a.join(b, ["_ll", "_rl", "_cx", "_cy"])
+    return joined.where(overlaps([F.col(c) for c in lbox], [F.col(c) for c in rbox]) & owner).drop("_ll", "_rl", "_cx", "_cy")
 
 
 def with_any_overlap(left: DataFrame, right: DataFrame, lbox: list[str], rbox: list[str], cell: float, key: str) -> DataFrame:
@@ -70,8 +73,8 @@ def class_codes(features: DataFrame, field: str, codes: dict[str, int]) -> DataF
 def where_true(df: DataFrame, predicate: Callable[..., object], columns: list[str]) -> DataFrame:
     """Rows for which a Python predicate gives exactly True; a column expression is better where one can be written."""
 
-    @F.udf("boolean")
-    def run(*values: object) -> bool:
-        return predicate(*values) is True
+    @F.pandas_udf("boolean")
+    def run(*values: pd.Series) -> pd.Series:
+        return pd.Series([predicate(*row) is True for row in zip(*(v.tolist() for v in values))], dtype=bool)
 
     return df.where(run(*columns))

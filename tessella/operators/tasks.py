@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,9 +24,10 @@ def page_info(tasks: DataFrame, size: int) -> DataFrame:
     return tasks.agg(F.count("*").alias("total")).withColumn("pages", F.ceil(F.col("total") / F.lit(size)).cast("long"))
 
 
-def reset_unfinished(tasks: DataFrame, now: Column) -> DataFrame:
+def reset_unfinished(tasks: DataFrame, now: Column, key: str = "id") -> DataFrame:
     """Waiting and running tasks set back to waiting, to be queued again in the order of their ids."""
-    return tasks.where(F.col("status").isin(WAITING, RUNNING)).withColumns({"status": F.lit(WAITING), "progress": F.lit(0), "createtime": now})
+    back = tasks.where(F.col("status").isin(WAITING, RUNNING)).withColumns({"status": F.lit(WAITING), "progress": F.lit(0), "createtime": now})
+    return back.orderBy(key)
 
 
 def fold_states(events: DataFrame, task: str, order: list[str], kind: str, stop_note: str = "Stopped Before Start") -> DataFrame:
@@ -49,18 +53,25 @@ def fold_states(events: DataFrame, task: str, order: list[str], kind: str, stop_
 def throttle(events: DataFrame, task: str, time: str, order: list[str], gap: float) -> DataFrame:
     """Events that are accepted: the first of each task, then each that comes `gap` seconds or more after the last accepted.
 
-    Acceptance depends on all before, so each task's events are folded in order. A task's events are few (they are
-    progress reports); for a feed without end use the stream operator, which keeps one time for each task.
+    Acceptance depends on all before, so each task's events stream in order through one sorted partition; only the last
+    accepted time is held, however many events a task has.
     """
-    key = F.struct(F.unix_micros(time).alias("t"), *order)
-    ordered = F.array_sort(F.collect_list(key))
-    start = F.struct(F.lit(None).cast("long").alias("t"), F.filter(ordered, lambda _: F.lit(False)).alias("kept"))
+    wait = int(gap * 1_000_000)
+    rows = events.select(F.col(task), F.unix_micros(time).alias("_t"), *order)
 
-    def step(s: Column, e: Column) -> Column:
-        take = s["t"].isNull() | (e["t"] - s["t"] >= F.lit(int(gap * 1_000_000)))
-        return F.struct(F.when(take, e["t"]).otherwise(s["t"]).alias("t"), F.when(take, F.concat(s["kept"], F.array(e))).otherwise(s["kept"]).alias("kept"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, None
+        for batch in batches:
+            take = []
+            for own, t in zip(batch.column(task).to_pylist(), batch.column("_t").to_pylist()):
+                if own != now or last is None or t - last >= wait:
+                    now, last = own, t
+                    take.append(True)
+                else:
+                    take.append(False)
+            yield batch.filter(pa.array(take, pa.bool_()))
 
-    return events.groupBy(task).agg(F.aggregate(ordered, start, step)["kept"].alias("_k")).select(task, F.explode("_k").alias("_e")).select(task, *[F.col(f"_e.{c}") for c in order])
+    return rows.repartition(task).sortWithinPartitions(task, "_t", *order).mapInArrow(run, rows.schema).drop("_t")
 
 
 def progress_percent(number: Column, total: Column, share: float = 1.0, begun: float = 0.0) -> Column:
@@ -99,6 +110,17 @@ def download_urls(params: Column, base: Column, drop: str = "file_list") -> Colu
     return F.transform_values(kept, lambda k, v: F.concat(base, F.lit("/"), F.element_at(F.split(v, "/"), -1)))
 
 
+def without_uploads(params: Column) -> Column:
+    """Parameters (map of JSON values) as a user sees them: an uploaded file, a list of two, is shown by its first part."""
+    return F.transform_values(params, lambda k, v: F.when(F.json_array_length(v) == 2, F.get_json_object(v, "$[0]")).otherwise(v))
+
+
+def with_services(tasks: DataFrame, services: DataFrame, kind: str = "tasktype") -> DataFrame:
+    """Tasks with the service of their kind; a task of an unknown kind keeps nulls and `known` false. A row for each kind is broadcast."""
+    known = services.withColumn("known", F.lit(True))
+    return tasks.join(F.broadcast(known), kind, "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
 def new_tasks(requests: DataFrame, last_id: int, now: Column, order: str) -> DataFrame:
     """Rows of the task table for requests (tasktype, inputparams), waiting, with ids after the last."""
     from tessella.operators.dataset import number_rows

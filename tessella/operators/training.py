@@ -40,13 +40,23 @@ def epoch_metrics(log: DataFrame) -> DataFrame:
 
 
 def smoothed_loss(log: DataFrame, keep: float = 0.9) -> DataFrame:
-    """Last exponentially weighted mean of each epoch's losses in step order, from 0: s = keep s + (1 - keep) loss.
+    """Exponentially weighted mean of the losses after each epoch, from 0 before the first: s = keep s + (1 - keep) loss.
 
-    The fold is a weighted sum, a power of `keep` for each step that follows, so that no task gathers an epoch's losses.
+    It goes on from epoch to epoch. Inside an epoch the fold is a weighted sum, a power of `keep` for each step that follows;
+    the sums, a row for each epoch, are folded in the order of the epochs.
     """
     after = F.count("*").over(Window.partitionBy("epoch")) - F.row_number().over(Window.partitionBy("epoch").orderBy("step"))
     weighted = log.withColumn("_w", F.pow(F.lit(keep), after) * (1 - keep) * F.col("loss"))
-    return weighted.groupBy("epoch").agg(F.sum("_w").alias("ewma"), F.count("*").alias("steps"))
+    own = weighted.groupBy("epoch").agg(F.sum("_w").alias("ewma"), F.count("*").alias("steps"))
+
+    def fold(epochs: pd.DataFrame) -> pd.DataFrame:
+        epochs, s, out = epochs.sort_values("epoch", ignore_index=True), 0.0, []
+        for mine, steps in zip(epochs["ewma"], epochs["steps"]):
+            s = keep**steps * s + mine
+            out.append(s)
+        return epochs.assign(ewma=out)
+
+    return own.groupBy().applyInPandas(fold, own.schema)  # a row for each epoch
 
 
 def network_percentages(keys: Column, query: Column, length: int, seed: int = 1024) -> Column:

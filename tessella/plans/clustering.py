@@ -29,7 +29,17 @@ def pca_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kmeans_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.kmeans_labels(vectors(spark, sf_dir), 10).select("vec_id", "cluster")
+    """Three steps from the vectors 0 to 9 as centres."""
+    v = vectors(spark, sf_dir)
+    centres = v.where("vec_id < 10").select(F.col("vec_id").alias("cid"), F.col("v").alias("c"))
+    return cluster.kmeans_from(v, centres, 3).select("vec_id", "cluster")
+
+
+def v_measure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels against whether the first three components are positive."""
+    v = vectors(spark, sf_dir).withColumn("octant", sum(F.when(F.col("v")[i] > 0, 1 << i).otherwise(0) for i in range(3)))
+    found = cluster.v_measure(v, "label", "octant")
+    return found.select(*[F.round(c, 9).alias(c) for c in ("homogeneity", "completeness", "v")])
 
 
 def kmeans_lloyd_step(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +78,7 @@ def calinski_harabasz(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        minmax_scale, standard_scale, pca_scores, kmeans_assign, kmeans_lloyd_step, dbscan_neighbors, dbscan_labels, agglomerative_labels, silhouette,
+        minmax_scale, standard_scale, v_measure, pca_scores, kmeans_assign, kmeans_lloyd_step, dbscan_neighbors, dbscan_labels, agglomerative_labels, silhouette,
         calinski_harabasz,
     )
 }
@@ -76,7 +86,22 @@ QUERIES = {
 _PAIRS = "pairs AS (SELECT a.vec_id AS a, b.vec_id AS b, b.label AS lb, sum((a.x - b.x) * (a.x - b.x)) AS d2 FROM vectors a JOIN vectors b USING (pos) GROUP BY ALL)"
 _POS = "CAST(pos AS INTEGER) AS pos"
 
+_LLOYD = ["c0 AS (SELECT vec_id AS cid, pos, x AS c FROM vectors WHERE vec_id < 10)"]
+for _i in range(4):
+    _LLOYD.append(f"""a{_i} AS (SELECT vec_id, min_by(cid, d2 * 1e6 + cid * 1e-9) AS cluster FROM
+        (SELECT vec_id, cid, sum((x - c) * (x - c)) AS d2 FROM vectors JOIN c{_i} USING (pos) GROUP BY ALL) GROUP BY vec_id)""")
+    _LLOYD.append(f"c{_i + 1} AS (SELECT cluster AS cid, pos, avg(x) AS c FROM vectors JOIN a{_i} USING (vec_id) GROUP BY cluster, pos)")
+
 SQL = {
+    "kmeans_assign": query("SELECT vec_id, cluster FROM a3", VECTORS, *_LLOYD[:-1]),
+    "v_measure": query(
+        """SELECT round(1 - tf / t, 9) AS homogeneity, round(1 - ft / f, 9) AS completeness, round(2 * (1 - tf / t) * (1 - ft / f) / (2 - tf / t - ft / f), 9) AS v FROM
+        (SELECT -sum(n / total * ln(n / nf)) AS tf, -sum(n / total * ln(n / nt)) AS ft FROM cells),
+        (SELECT -sum(nt / total * ln(nt / total)) AS t FROM (SELECT DISTINCT label, nt, total FROM cells)),
+        (SELECT -sum(nf / total * ln(nf / total)) AS f FROM (SELECT DISTINCT octant, nf, total FROM cells))""", VECTORS,
+        "o AS (SELECT vec_id, label, sum(CASE WHEN pos < 3 AND x > 0 THEN 1 << pos ELSE 0 END) AS octant FROM vectors GROUP BY ALL)",
+        """cells AS (SELECT label, octant, n, sum(n) OVER (PARTITION BY label) AS nt, sum(n) OVER (PARTITION BY octant) AS nf, sum(n) OVER () AS total
+                 FROM (SELECT label, octant, count(*)::DOUBLE AS n FROM o GROUP BY ALL))"""),
     "minmax_scale": query(
         f"SELECT vec_id, {_POS}, round(CASE WHEN max(x) OVER p > min(x) OVER p THEN (x - min(x) OVER p) / (max(x) OVER p - min(x) OVER p) ELSE 0e0 END, 6) AS x FROM vectors WINDOW p AS (PARTITION BY pos)", VECTORS),
     "standard_scale": query(

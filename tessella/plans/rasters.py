@@ -63,9 +63,10 @@ def valid_pixel_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grid_clip_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chips as windows of a grid 20 wide; kept if at least 95 % of their pixels are above 100."""
-    w = chips(spark, sf_dir).select("vec_id", F.expr("vec_id div 20").alias("y"), "px")
-    kept = w.where(F.size(F.filter("px", lambda p: p > 100)) / F.size("px") >= 0.75)
+    """Chips, less 76 and 0 at least, as windows of a grid 20 wide; kept if at least 95 % of their pixels are not zero."""
+    dark = F.transform("px", lambda p: F.greatest(p - 76, F.lit(0)))
+    w = chips(spark, sf_dir).select("vec_id", F.expr("vec_id div 20").alias("y"), dark.alias("px"))
+    kept = w.where(dataset.nonzero_ratio(F.col("px")) >= 0.95)
     return raster.grid_names(w.drop("px"), kept, "vec_id", "y", "vec_id", "clip").select("vec_id", "name")
 
 
@@ -137,7 +138,7 @@ SQL = {
     "valid_pixel_ratio": query("SELECT vec_id, avg(CASE WHEN px <> 0 THEN 1e0 ELSE 0e0 END) AS ratio FROM pixels GROUP BY vec_id", PIXELS),
     "grid_clip_names": query(
         """SELECT vec_id, 'clip_' || y || '_' || (row_number() OVER (PARTITION BY y ORDER BY vec_id) - 1) || '.tif' AS name
-        FROM (SELECT vec_id, vec_id // 20 AS y FROM pixels GROUP BY vec_id HAVING avg(CASE WHEN px > 100 THEN 1e0 ELSE 0e0 END) >= 0.75e0)""", PIXELS),
+        FROM (SELECT vec_id, vec_id // 20 AS y FROM pixels GROUP BY vec_id HAVING avg(CASE WHEN px > 76 THEN 1e0 ELSE 0e0 END) >= 0.95e0)""", PIXELS),
     "gray_histogram": query("SELECT vec_id, px AS bin, count(*) AS n FROM pixels GROUP BY vec_id, px", PIXELS),
     "histogram_vectors": query(
         """SELECT v.vec_id, CAST(b AS INTEGER) AS bin, coalesce(n, 0) AS n FROM (SELECT vec_id FROM embeddings) v, (SELECT unnest(range(256)) AS b)

@@ -135,8 +135,9 @@ def coco_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 def coco_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     cats = coco_categories(spark, sf_dir).select(F.col("id").alias("category_id"), F.col("name").alias("cls"))
     numbered = dataset.number_rows(_annotated(spark, sf_dir), ["win_no", "fid"], "id")
-    return numbered.join(F.broadcast(cats), "cls").select(  # a row for each class
-        "id", "win_no", "fid", "category_id", "area", *[dataset.around(F.col(c), 1).alias(c) for c in ("bbox_x", "bbox_y", "bbox_w", "bbox_h")], F.lit(0).alias("iscrowd")
+    known = F.when(F.col("category_id").isNull(), F.raise_error(F.concat(F.lit("no category is called "), F.col("cls"))).cast("long")).otherwise(F.col("category_id"))
+    return numbered.join(F.broadcast(cats), "cls", "left").select(  # a row for each class
+        "id", "win_no", "fid", known.alias("category_id"), "area", *[dataset.around(F.col(c), 1).alias(c) for c in ("bbox_x", "bbox_y", "bbox_w", "bbox_h")], F.lit(0).alias("iscrowd")
     )
 
 

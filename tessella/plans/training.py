@@ -72,9 +72,10 @@ SQL = {
     "epoch_metrics": "SELECT user_id AS epoch, round(avg(value), 6) AS loss, count(*) AS steps FROM events GROUP BY user_id",
     "ewma_loss": """
         WITH RECURSIVE o AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, count(*) OVER (PARTITION BY user_id) AS steps FROM events),
-        f AS (SELECT user_id, n, 0.1e0 * value AS s, steps FROM o WHERE n = 1
-              UNION ALL SELECT o.user_id, o.n, 0.9e0 * f.s + 0.1e0 * o.value, o.steps FROM f JOIN o ON o.user_id = f.user_id AND o.n = f.n + 1)
-        SELECT user_id AS epoch, round(s, 6) AS ewma, steps FROM f WHERE n = steps""",
+        e AS (SELECT user_id, sum(pow(0.9e0, steps - n) * 0.1e0 * value) AS own, steps, row_number() OVER (ORDER BY user_id) AS nth FROM o GROUP BY user_id, steps),
+        f AS (SELECT user_id, own AS s, steps, nth FROM e WHERE nth = 1
+              UNION ALL SELECT e.user_id, pow(0.9e0, e.steps) * f.s + e.own, e.steps, e.nth FROM f JOIN e ON e.nth = f.nth + 1)
+        SELECT user_id AS epoch, round(s, 6) AS ewma, steps FROM f""",
     "lr_schedule": f"""
         SELECT step, round(CASE WHEN step < {LOOPS // 100} THEN 0.5e0 * (cos(({LOOPS // 100} - 1 - step) / {LOOPS // 100}e0 * pi()) + 1)
                ELSE pow(0.5e0 * (cos((step - {LOOPS // 100}) / {LOOPS - LOOPS // 100}e0 * pi()) + 1), 2) END, 9) AS factor FROM (SELECT unnest(range({LOOPS})) AS step)""",

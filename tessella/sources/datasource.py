@@ -94,10 +94,13 @@ def write_geojson(df: DataFrame, path: str, rings: str = "rings", props: str = "
 def explode_polygons(df: DataFrame) -> DataFrame:
     """A row for each polygon of a feature, with its holes; null geometries and polygons of under three points go."""
 
-    @F.udf("array<array<array<struct<x: double, y: double>>>>")
-    def split(rings):
-        grouped = shapefile.polygons([[(p["x"], p["y"]) for p in ring] for ring in rings])
-        return [[[{"x": x, "y": y} for x, y in ring] for ring in polygon] for polygon in grouped if len(set(polygon[0])) > 2]
+    @F.pandas_udf("array<array<array<struct<x: double, y: double>>>>")
+    def split(features: pd.Series) -> pd.Series:
+        out = []
+        for rings in features:
+            grouped = shapefile.polygons([[(p["x"], p["y"]) for p in ring] for ring in rings])
+            out.append([[[{"x": x, "y": y} for x, y in ring] for ring in polygon] for polygon in grouped if len(set(polygon[0])) > 2])
+        return pd.Series(out)
 
     return df.where(F.col("rings").isNotNull()).withColumn("rings", F.explode(split("rings")))
 
