@@ -81,6 +81,16 @@ def reproject(source: int, target: int, x: Column, y: Column) -> tuple[Column, C
     raise ValueError(f"no projection is known for EPSG:{target}")
 
 
+def reproject_ring(source: int, target: int, ring: Column) -> Column:
+    """A ring point by point."""
+
+    def move(p: Column) -> Column:
+        x, y = reproject(source, target, p["x"], p["y"])
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    return F.transform(ring, move)
+
+
 def reproject_box(source: int, target: int, box: list[Column]) -> list[Column]:
     """Box around the four reprojected corners."""
     x0, y0, x1, y1 = box

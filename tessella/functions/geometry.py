@@ -99,6 +99,23 @@ def ring_contains(ring: Column, x: Number, y: Number) -> Column:
     return F.aggregate(crossed, F.lit(0), lambda s, v: s + v) % 2 == 1
 
 
+def _edges(ring: Column) -> Column:
+    following = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
+    return F.zip_with(ring, following, lambda p, q: F.struct(p["x"].alias("ax"), p["y"].alias("ay"), q["x"].alias("bx"), q["y"].alias("by")))
+
+
+def edges_cross(e: Column, g: Column) -> Column:
+    """Two edges cross in a point inside both."""
+    side = lambda e, x, y: (e["bx"] - e["ax"]) * (y - e["ay"]) - (e["by"] - e["ay"]) * (x - e["ax"])
+    return (side(e, g["ax"], g["ay"]) * side(e, g["bx"], g["by"]) < 0) & (side(g, e["ax"], e["ay"]) * side(g, e["bx"], e["by"]) < 0)
+
+
+def ring_in_ring(inner: Column, outer: Column) -> Column:
+    """All corners of the inner ring are in the outer one, and no edges cross."""
+    corners = F.forall(inner, lambda p: ring_contains(outer, p["x"], p["y"]))
+    return corners & ~F.exists(_edges(inner), lambda e: F.exists(_edges(outer), lambda g: edges_cross(e, g)))
+
+
 def box_ring(box: Sequence[Number]) -> Column:
     x0, y0, x1, y1 = map(lit, box)
     corners = ((x0, y1), (x1, y1), (x1, y0), (x0, y0))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.functions.geometry import box_area, clip_box
 from tessella.operators.spatial import join_overlapping
-from tessella.storage import materialise
+from tessella.storage import materialise, write_text
 
 #: Part of a feature that must lie in a window, if not all does.
 LEAST_COVER = 0.7
@@ -77,13 +80,26 @@ def categories(labels: DataFrame | None, label: str = "label") -> DataFrame:
     return labels.select(label).distinct().select(F.row_number().over(order).cast("long").alias("id"), F.col(label).alias("name"))
 
 
+# What is said of a data set and its licence where nothing else is given.
+INFO = {"description": "COCO-format dataset", "url": "", "version": "1.0", "contributor": ""}
+LICENCES = [{"id": 0, "name": "", "url": ""}]
+
+
+def _entry() -> Column:
+    """An annotation as it is written; segmentation is the run lengths (column by column, from zeros) and the size of the mask."""
+    mask = F.struct("counts", F.array("mask_height", "mask_width").alias("size"))
+    return F.struct(
+        "id", "image_id", "category_id", mask.alias("segmentation"), "area", F.array("bbox_x", "bbox_y", "bbox_w", "bbox_h").alias("bbox"), F.lit(0).alias("iscrowd")
+    )
+
+
 def coco_document(images: DataFrame, annotations: DataFrame, cats: DataFrame) -> DataFrame:
     """One JSON text for each image: the image, its annotations in order, and the categories they use.
 
-    A document for each image keeps every row small; concatenating the lists gives the usual single file.
+    A document for each image keeps every row small; `coco_file` writes the usual single file.
     """
     named = annotations.join(cats.withColumnRenamed("id", "category_id").withColumnRenamed("name", "category"), "category_id")
-    entry = F.struct("id", "image_id", "category_id", "area", F.array("bbox_x", "bbox_y", "bbox_w", "bbox_h").alias("bbox"), F.lit(0).alias("iscrowd"))
+    entry = _entry()
     grouped = named.groupBy("image_id").agg(
         F.sort_array(F.collect_list(entry)).alias("annotations"), F.sort_array(F.collect_set(F.struct(F.col("category_id").alias("id"), F.col("category").alias("name")))).alias("categories")
     )
@@ -91,6 +107,35 @@ def coco_document(images: DataFrame, annotations: DataFrame, cats: DataFrame) ->
     return images.join(grouped, "image_id").select("image_id", F.to_json(F.struct(F.array(image).alias("images"), "annotations", "categories")).alias("document"))
 
 
+def coco_file(images: DataFrame, annotations: DataFrame, cats: DataFrame, path: str, info: dict[str, str] | None = None, licences: list[dict] | None = None) -> None:
+    """The whole set as one JSON file: info, licenses, images, annotations and categories, each in the order of ids.
+
+    Entries are made and ordered by Spark and pass through the driver a partition at a time; nothing is held whole.
+    """
+    import datetime
+    import json
+
+    today = datetime.datetime.today()
+    about = {**INFO, "year": today.year, "date_created": str(today), **(info or {})}
+    image = F.struct(F.col("image_id").alias("id"), "file_name", "height", "width")
+    lists = {
+        "images": images.select(F.col("image_id").alias("k"), F.to_json(image).alias("j")),
+        "annotations": annotations.select(F.col("id").alias("k"), F.to_json(_entry()).alias("j")),
+        "categories": cats.select(F.col("id").alias("k"), F.to_json(F.struct("id", "name")).alias("j")),
+    }
+
+    def pieces() -> Iterator[str]:
+        yield f'{{"info": {json.dumps(about)}, "licenses": {json.dumps(licences or LICENCES)}'
+        for name, rows in lists.items():
+            yield f', "{name}": ['
+            for n, row in enumerate(rows.orderBy("k").toLocalIterator()):
+                yield (", " if n else "") + row["j"]
+            yield "]"
+        yield "}"
+
+    write_text(images.sparkSession, path, pieces())
+
+
 def labelme_document(shapes: DataFrame, image: str, label: str, points: str, height: int, width: int) -> DataFrame:
     """One LabelMe JSON text for each image."""
     shape = F.struct(F.col(label).alias("label"), F.col(points).alias("points"), F.lit(None).cast("string").alias("group_id"), F.lit("polygon").alias("shape_type"))
@@ -110,6 +155,19 @@ def labelme_document(shapes: DataFrame, image: str, label: str, points: str, hei
     )
 
 
+def manifest_header(classes: dict[str, int] | None, created: str) -> list[str]:
+    """Lines before a manifest of several classes: its version and date, and the classes with their codes; none without classes."""
+    if not classes:
+        return []
+    return [f"#,version,1.0,data_creator,{created}", "".join(f",{name},{code}" for name, code in classes.items())]
+
+
+def append_manifest(lines: DataFrame, path: str, order: list[str], header: list[str] = (), column: str = "line") -> None:
+    """Lines in an order, after the header, at the end of one text file, which is made if it is missing."""
+    rows = (row[column] for row in lines.orderBy(*order).toLocalIterator())
+    write_text(lines.sparkSession, path, (f"{text}\n" for text in chain(header, rows)), append=True)
+
+
 def manifest_lines(*paths: Column) -> Column:
     return F.concat_ws(",", *paths)
 

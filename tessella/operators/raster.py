@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessella.functions.crs import reproject, reproject_box
+from tessella.functions.geometry import ring_contains, ring_envelope
+
 
 def apply_mask(px: Column, mask: Column) -> Column:
     return F.zip_with(px, mask, lambda p, m: F.when(m > 0, p).otherwise(F.lit(0)))
@@ -78,6 +81,35 @@ def rasterize(grid: DataFrame, shapes: DataFrame, box: list[str], pixel: float,
     return grid.join(burnt, ["row", "col"], "left").withColumn("value", F.coalesce("value", F.lit(0)))
 
 
+def rasterize_rings(grid: DataFrame, shapes: DataFrame, ring: str, pixel: float, order: str | None = None, code: str | None = None) -> DataFrame:
+    """As `rasterize`, for rings: a pixel is set if its centre is inside by the even-odd rule. Each ring lists the pixels of its own box."""
+    x0, y0, x1, y1 = (c / F.lit(float(pixel)) - 0.5 for c in ring_envelope(F.col(ring)))
+    seq = lambda a, b: F.when(b >= a, F.sequence(a, b)).otherwise(F.expr("cast(array() as array<bigint>)"))
+    hit = shapes.withColumn("col", F.explode(seq(F.ceil(x0).cast("long"), F.floor(x1).cast("long")))).withColumn("row", F.explode(seq(F.ceil(y0).cast("long"), F.floor(y1).cast("long"))))
+    hit = hit.where(ring_contains(F.col(ring), (F.col("col") + 0.5) * float(pixel), (F.col("row") + 0.5) * float(pixel)))
+    value = F.max(F.lit(1)) if order is None else F.max_by(code, order)
+    burnt = hit.groupBy("row", "col").agg(value.cast("int").alias("value"))
+    return grid.join(burnt, ["row", "col"], "left").withColumn("value", F.coalesce("value", F.lit(0)))
+
+
+def reproject_nearest(px: Column, height: int, width: int, transform: list[Column], source: int, target: int) -> tuple[Column, list[Column]]:
+    """A north-up chip in another projection, in as many pixels over the box of its reprojected corners, and its transform.
+
+    Each pixel takes the nearest source pixel of its own centre, 0 outside.
+    """
+    a, _, c, _, e, f = transform
+    x0, y0, x1, y1 = reproject_box(source, target, [c, f + e * height, c + a * width, f])
+    step_x, step_y = (x1 - x0) / width, (y1 - y0) / height
+
+    def take(i: Column) -> Column:
+        x, y = reproject(target, source, x0 + (i % width + 0.5) * step_x, y1 - (F.floor(i / width) + 0.5) * step_y)
+        col, row = F.floor((x - c) / a), F.floor((y - f) / e)
+        inside = (col >= 0) & (col < width) & (row >= 0) & (row < height)
+        return F.when(inside, F.get(px, (row * width + col).cast("int"))).otherwise(F.lit(0))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(height * width - 1)), take), [step_x, F.lit(0.0), x0, F.lit(0.0), -step_y, y1]
+
+
 def histogram(chips: DataFrame, key: str, px: str, bins: int = 256) -> DataFrame:
     """Non-empty bins of each chip: key, bin, n."""
     return chips.select(key, F.explode(px).alias("bin")).groupBy(key, "bin").agg(F.count("*").alias("n"))
@@ -195,6 +227,22 @@ def ring_mask(ring: Column, height: int, width: int) -> Column:
     return run(ring)
 
 
+def ring_rle(ring: Column, height: int, width: int) -> Column:
+    """Run lengths of a ring's mask column by column, from zeros; the ring is in pixel coordinates (y down)."""
+    mask = ring_mask(ring, height, width)
+
+    @F.arrow_udf("array<bigint>")
+    def run(masks: pa.Array) -> pa.Array:
+        flags = np.asarray(masks.flatten()).reshape(len(masks), height, width).transpose(0, 2, 1).reshape(len(masks), -1)
+        out = []
+        for flat in flags:
+            cuts = np.flatnonzero(np.diff(flat)) + 1
+            out.append(np.diff(np.r_[0, cuts, len(flat)]) if not flat[0] else np.r_[0, np.diff(np.r_[0, cuts, len(flat)])])
+        return pa.array(out, pa.list_(pa.int64()))
+
+    return run(mask)
+
+
 def column_major(px: Column, height: int, width: int) -> Column:
     """Pixels column by column, the order of annotation run lengths."""
     index = F.array(*[F.lit(r * width + c) for c in range(width) for r in range(height)])

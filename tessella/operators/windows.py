@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.geometry import lit, rotated_corners
 
+# Shifts in pixels and angles in degrees of augmented windows.
 SHIFTS = (-50, -100, -150, 50, 100, 150)
 ANGLES = (30, 45, 60, 75)
 
@@ -37,6 +38,38 @@ def sliding_windows(spark: SparkSession, extent: tuple[float, float, float, floa
     return grid.select((F.col("row") * F.col("n_cols") + F.col("col")).cast("long").alias("win_no"), "row", "col", "x", "y")
 
 
+def ground_sizes(out_shape: tuple[int, int], pixel: tuple[float, float], step: tuple[int, int] | None = None) -> tuple[tuple[float, float], tuple[float, float]]:
+    """Size and step of windows in ground units, (height, width) each, from a shape and a step in pixels; the step is the shape if none is given."""
+    dx, dy = pixel[0], abs(pixel[1])
+    rows, cols = step or out_shape
+    return (dy * out_shape[1], dx * out_shape[0]), (dy * rows, dx * cols)
+
+
+def sample_windows(
+    spark: SparkSession,
+    extent: tuple[float, float, float, float],
+    out_shape: tuple[int, int],
+    pixel: tuple[float, float],
+    step: tuple[int, int] | None = None,
+    move: bool = False,
+    angle: int | None = None,
+    zones: DataFrame | None = None,
+    zone_box: list[str] | None = None,
+) -> DataFrame:
+    """Windows of a raster in the order that samples are made: slid over the extent, shifted, turned, held to zones, and kept inside the extent."""
+    from tessella.operators.spatial import within_any
+
+    size, stride = ground_sizes(out_shape, pixel, step)
+    out = rectangles(sliding_windows(spark, extent, size, stride), size)
+    if move:
+        out = shifted(out, "win_no", pixel)
+    if angle is not None:
+        out = turned(out, "win_no", angle)
+    left, bottom, right, top = extent
+    out = out.where((F.col("left") >= left) & (F.col("right") <= right) & (F.col("top") <= top) & (F.col("bottom") >= bottom))
+    return out if zones is None else within_any(out, zones, ["left", "bottom", "right", "top"], zone_box, max(size), "win_no")
+
+
 def zone_windows(zones: DataFrame, box: list[str], size: tuple[float, float], step: tuple[float, float], keys: list[str]) -> DataFrame:
     """Windows over each zone's own box, with one row and column more than fit; overlaps stay."""
     return _grid(zones, box, size, step, 2).select(*keys, "row", "col", "x", "y")
@@ -82,6 +115,13 @@ def turned(windows: DataFrame, key: str, angle: int | None = None, prime: int =
     return out.withColumns({f"{axis}{i + 1}": c for i, corner in enumerate(corners) for axis, c in zip("xy", corner)})
 
 
+def validation_plan(spark: SparkSession, features: DataFrame, box: list[str], key: str, extent: tuple[float, float, float, float], size: tuple[float, float], step: tuple[float, float]) -> DataFrame:
+    """What is cut for validation, without augmentation: windows slid over the extent (`val`), and one about each feature (`val2`)."""
+    slid = rectangles(sliding_windows(spark, extent, size, step), size).select(F.lit("val").alias("kind"), F.col("win_no").alias(key), "left", "bottom", "right", "top")
+    spots = rectangles(centred_windows(features, box, size, [key]), size).select(F.lit("val2").alias("kind"), key, "left", "bottom", "right", "top")
+    return slid.unionByName(spots)
+
+
 def training_plan(features: DataFrame, key: str, copies: int = 8) -> DataFrame:
     """What is cut for training: each feature once as it is, and `copies` times moved and as often turned."""
     variants = F.array(

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tessella.functions import crs
 from tessella.functions.geometry import apply_affine, box_ring, inverse_affine, overlaps
-from tessella.operators import dataset, spatial, windows
+from tessella.operators import dataset, raster, spatial, windows
+from tessella.storage import materialise
 from tessella.plans.views import BOX, EXTENT, FEATURES, GEO_POINTS, PIXELS, WINDOWS, ZONES, chips, features, geo_points, query, table, zones
 
 SIZE, STEP = (100.0, 100.0), (90.0, 90.0)
@@ -142,15 +143,35 @@ def coco_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coco_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    images = coco_images(spark, sf_dir).withColumnRenamed("id", "image_id")
-    marks = coco_annotations(spark, sf_dir).join(images.select("image_id", "win_no"), "win_no")
-    return dataset.coco_document(images, marks, coco_categories(spark, sf_dir))
+    """Documents with masks of 100 x 100 pixels, read again: names, and sums over the annotations of each image."""
+    images = materialise(coco_images(spark, sf_dir)).withColumnRenamed("id", "image_id")
+    ring = F.transform(box_ring([F.col(c) for c in BOX]), lambda p: F.struct((p["x"] - F.col("left")).alias("x"), (F.col("top") - p["y"]).alias("y")))
+    rings = features(spark, sf_dir).join(coco_annotations(spark, sf_dir), "fid").join(_rects(spark).select("win_no", "left", "top"), "win_no")
+    marks = rings.withColumns({"counts": raster.ring_rle(ring, 100, 100), "mask_height": F.lit(100), "mask_width": F.lit(100)})
+    marks = marks.join(images.select("image_id", "win_no"), "win_no")
+    documents = dataset.coco_document(images, marks, coco_categories(spark, sf_dir))
+    entry = "struct<id: bigint, image_id: bigint, category_id: bigint, segmentation: struct<counts: array<bigint>, size: array<int>>, area: double, bbox: array<double>>"
+    schema = f"images array<struct<id: bigint, file_name: string, height: int, width: int>>, annotations array<{entry}>, categories array<struct<id: bigint, name: string>>"
+    d = documents.select("image_id", F.from_json("document", schema).alias("d")).select("image_id", F.col("d.images")[0]["file_name"].alias("file_name"), "d.annotations", F.size("d.categories").alias("n_categories"))
+    ones = F.transform(F.col("a.segmentation.counts"), lambda c, i: F.when(i % 2 == 1, c).otherwise(F.lit(0)))
+    flat = d.select("image_id", "file_name", F.col("n_categories").cast("long").alias("n_categories"), F.explode("annotations").alias("a"))
+    flat = flat.withColumns({"ones": F.aggregate(ones, F.lit(0).cast("long"), lambda s, x: s + x), "all": F.aggregate("a.segmentation.counts", F.lit(0).cast("long"), lambda s, x: s + x)})
+    return flat.groupBy("image_id", "file_name", "n_categories").agg(
+        F.count("*").alias("n_annotations"), F.round(F.sum("a.area"), 6).alias("area"), F.sum("ones").alias("mask_pixels"), F.sum("all").alias("all_pixels"), F.sum("a.category_id").alias("category_sum")
+    )
 
 
 def labelme_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents read again: shapes of each image and sums over their corners."""
     pairs = spatial.join_overlapping(_rects(spark), features(spark, sf_dir), WBOX, BOX, SIZE[0])
     points = F.transform(box_ring([F.col(c) for c in BOX]), lambda p: F.array(p["x"] - F.col("left"), F.col("top") - p["y"]))
-    return dataset.labelme_document(pairs.withColumn("points", points), "win_no", "cls", "points", 100, 100)
+    documents = dataset.labelme_document(pairs.withColumn("points", points), "win_no", "cls", "points", 100, 100)
+    schema = "version string, shapes array<struct<label: string, points: array<array<double>>, shape_type: string>>, imagePath string, imageHeight int, imageWidth int"
+    shapes = documents.select("win_no", F.from_json("document", schema).alias("d")).select("win_no", "d.imagePath", F.explode("d.shapes").alias("s"))
+    corners = shapes.select("win_no", "imagePath", "s.label", F.posexplode("s.points").alias("k", "p"))
+    return corners.groupBy("win_no", F.col("imagePath").alias("image")).agg(
+        F.sum((F.col("k") == 0).cast("long")).alias("n_shapes"), F.round(F.sum(F.col("p")[0]), 3).alias("x"), F.round(F.sum(F.col("p")[1]), 3).alias("y"), F.max("label").alias("last_label")
+    )
 
 
 def _valid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,6 +302,14 @@ SQL = {
         bx0 AS bbox_x, by0 AS bbox_y, round_even(round(bx1 - bx0, 6) * 10e0, 0) / 10e0 AS bbox_w, round_even(round(by1 - by0, 6) * 10e0, 0) / 10e0 AS bbox_h, 0 AS iscrowd
         FROM (SELECT *, greatest(round_even(round(x0, 6) * 10e0, 0) / 10e0, 0e0) AS bx0, greatest(round_even(round(y0, 6) * 10e0, 0) / 10e0, 0e0) AS by0, greatest(round_even(round(x1, 6) * 10e0, 0) / 10e0, 0e0) AS bx1, greatest(round_even(round(y1, 6) * 10e0, 0) / 10e0, 0e0) AS by1 FROM marks)""",
         WINDOWS, _RECTS, FEATURES, _MARKS, _CATS),
+    "coco_json": query(
+        """SELECT image_id, 'image_' || win_no || '.tif' AS file_name, count(DISTINCT cls) AS n_categories, count(*) AS n_annotations, round(sum(round_even(round(part, 6) * 100e0, 0) / 100e0), 6) AS area,
+        CAST(sum((ceil(x1 - 0.5e0) - ceil(x0 - 0.5e0)) * (ceil(y1 - 0.5e0) - ceil(y0 - 0.5e0))) AS BIGINT) AS mask_pixels, count(*) * 10000 AS all_pixels, CAST(sum(cats.id) AS BIGINT) AS category_sum
+        FROM marks JOIN (SELECT win_no, row_number() OVER (ORDER BY win_no) AS image_id FROM (SELECT DISTINCT win_no FROM marks)) USING (win_no) JOIN cats ON name = cls GROUP BY image_id, win_no""",
+        WINDOWS, _RECTS, FEATURES, _MARKS, _CATS),
+    "labelme_json": query(
+        f"""SELECT win_no, CAST(win_no AS VARCHAR) AS image, count(*) AS n_shapes, round(sum(2 * (xmin - "left") + 2 * (xmax - "left")), 3) AS x, round(sum(2 * (top - ymin) + 2 * (top - ymax)), 3) AS y, max(cls) AS last_label
+        FROM rects JOIN features ON {_MEET} GROUP BY win_no""", WINDOWS, _RECTS, FEATURES),
     "manifest_csv_2col": query("SELECT vec_id, 'images/chip_' || vec_id || '.tif,labels/chip_' || vec_id || '.tif' AS line FROM ratios WHERE ratio >= 0.5e0", PIXELS, _RATIO),
     "change_pairs": query("SELECT b.vec_id // 2 AS win, b.vec_id AS before_id, a.vec_id AS after_id FROM ratios b JOIN ratios a ON b.vec_id % 2 = 0 AND a.vec_id = b.vec_id + 1 WHERE b.ratio >= 0.5e0 AND a.most <> 0", PIXELS, _RATIO),
     "manifest_csv_3col": query("SELECT win, 'before/' || win || '.tif,after/' || win || '.tif,labels/' || win || '.tif' AS line FROM (SELECT b.vec_id // 2 AS win FROM ratios b JOIN ratios a ON b.vec_id % 2 = 0 AND a.vec_id = b.vec_id + 1 WHERE b.ratio >= 0.5e0 AND a.most <> 0)", PIXELS, _RATIO),

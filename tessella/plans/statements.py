@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessella.client import connect
 from tessella.operators import tables
 from tessella.plans.views import BOX, FEATURES, features, query, table, task_events
+from tessella.storage import materialise
 from tessella.streaming import progress
 
 
@@ -41,11 +42,8 @@ def show_tables_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def session_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The session as a table of nodes."""
-    sc = spark.sparkContext
-    return spark.range(1).select(
-        F.lit(sc.applicationId).alias("node_id"), F.lit(sc.uiWebUrl or "").alias("http_uri"), F.lit(spark.version).alias("node_version"), F.lit(True).alias("coordinator"), F.lit("active").alias("state")
-    )
+    """The driver and the executors as a table of nodes, counted by role."""
+    return tables.nodes(spark).groupBy("coordinator", "state").agg(F.countDistinct("node_id").cast("long").alias("n")).where("coordinator")
 
 
 def detection_table_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +55,9 @@ def detection_table_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables.append_detections(rows.where("score < 0.1"), name)
     tables.clear_table(spark, name)
     tables.append_detections(rows, name)
-    return spark.table(name).groupBy("class").agg(F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("score"), F.sum(F.octet_length("the_geom")).alias("bytes"))
+    found = materialise(spark.table(name).groupBy("class").agg(F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("score"), F.sum(F.octet_length("the_geom")).alias("bytes")))
+    spark.sql(f"DROP TABLE {name}")
+    return found
 
 
 def binary_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +70,7 @@ def extent_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dbapi_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows fetched by a cursor."""
+    """Rows fetched by a cursor: they come to the driver, which is what a cursor is for."""
     with connect(spark) as c:
         table(c.session, sf_dir, "nation").createOrReplaceTempView("nation_rows")
         cursor = c.cursor().execute("SELECT n_nationkey, n_name FROM nation_rows WHERE n_regionkey = ?", [1])
@@ -82,6 +82,18 @@ def streaming_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progress.throttle_files(spark, f"{sf_dir}/events.parquet", 6 * 3600.0)
 
 
+def wkb_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corners of the polygons of a detection table, decoded again."""
+    f = features(spark, sf_dir).select("fid", tables.wkb_rings(tables.wkb_box(*map(F.col, BOX))).alias("rings"))
+    return f.select("fid", F.posexplode(F.col("rings")[0]).alias("k", "p")).groupBy("fid").agg(F.count("*").alias("n"), F.min("p.x").alias("x0"), F.max("p.x").alias("x1"), F.min("p.y").alias("y0"), F.max("p.y").alias("y1"))
+
+
+def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by quarters of an hour and type."""
+    counts = progress.windowed_counts(table(spark, sf_dir, "events"), size="15 minutes")
+    return counts.select(F.unix_seconds("window.start").alias("begin"), "event_type", "n", F.round("total", 6).alias("total"))
+
+
 def config_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes of settings along a sequence of versions: each event writes its user's type as a setting."""
     log = task_events(spark, sf_dir).select(F.col("task").alias("key"), F.col("event_id").alias("version"), F.col("event_type").alias("value"))
@@ -92,7 +104,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         sql_limit_count, sql_where_false, sql_params, tpch_customer_limit, show_tables_count, session_nodes, detection_table_roundtrip, binary_decode,
-        extent_scan, dbapi_rows, streaming_progress, config_feed,
+        extent_scan, wkb_decoded, windowed_counts, dbapi_rows, streaming_progress, config_feed,
     )
 }
 
@@ -101,9 +113,12 @@ SQL = {
     "sql_where_false": "SELECT count(*) AS n FROM customer WHERE false",
     "sql_params": "SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 500e0",
     "tpch_customer_limit": "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 10",
+    "session_nodes": "SELECT true AS coordinator, 'active' AS state, CAST(1 AS BIGINT) AS n",
     "show_tables_count": "SELECT CAST(1 AS BIGINT) AS n",
     "detection_table_roundtrip": query("SELECT cls AS class, count(*) AS n, round(sum(fid % 100 / 100e0), 6) AS score, CAST(sum(93) AS BIGINT) AS bytes FROM features WHERE fid % 7 <> 0 GROUP BY cls", FEATURES),
     "binary_decode": "SELECT c_custkey, c_name AS name FROM customer",
+    "wkb_decoded": query("SELECT fid, CAST(5 AS BIGINT) AS n, xmin AS x0, xmax AS x1, ymin AS y0, ymax AS y1 FROM features", FEATURES),
+    "windowed_counts": "SELECT epoch_us(ts) // 900000000 * 900 AS begin, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2",
     "extent_scan": query("SELECT fid FROM features WHERE xmin <= 300 AND xmax >= 100 AND ymin <= 450 AND ymax >= 200", FEATURES),
     "dbapi_rows": "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1",
     "streaming_progress": """

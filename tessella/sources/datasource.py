@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -94,13 +95,15 @@ def write_geojson(df: DataFrame, path: str, rings: str = "rings", props: str = "
 def explode_polygons(df: DataFrame) -> DataFrame:
     """A row for each polygon of a feature, with its holes; null geometries and polygons of under three points go."""
 
-    @F.pandas_udf("array<array<array<struct<x: double, y: double>>>>")
-    def split(features: pd.Series) -> pd.Series:
+    kind = pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
+
+    @F.arrow_udf("array<array<array<struct<x: double, y: double>>>>")
+    def split(features: pa.Array) -> pa.Array:
         out = []
-        for rings in features:
+        for rings in features.to_pylist():
             grouped = shapefile.polygons([[(p["x"], p["y"]) for p in ring] for ring in rings])
             out.append([[[{"x": x, "y": y} for x, y in ring] for ring in polygon] for polygon in grouped if len(set(polygon[0])) > 2])
-        return pd.Series(out)
+        return pa.array(out, kind)
 
     return df.where(F.col("rings").isNotNull()).withColumn("rings", F.explode(split("rings")))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,3 +29,29 @@ def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
     path = path or shared_dir(df.sparkSession)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_text(spark: SparkSession, path: str, pieces: Iterable[str], append: bool = False) -> None:
+    """One text file of the pieces, on any file system that Spark knows; a new file takes the place of the old when it is whole."""
+    jvm = spark.sparkContext._jvm
+    target, fresh = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.{uuid.uuid4().hex}"))
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(fresh)
+    try:
+        if append and fs.exists(target):
+            old = fs.open(target)
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(old, out, 1 << 16, False)
+            old.close()
+        held, size = [], 0
+        for piece in pieces:
+            held.append(piece)
+            size += len(piece)
+            if size >= 1 << 20:
+                out.write(bytearray("".join(held).encode()))
+                held, size = [], 0
+        out.write(bytearray("".join(held).encode()))
+    finally:
+        out.close()
+    if fs.exists(target):
+        fs.delete(target, False)
+    fs.rename(fresh, target)

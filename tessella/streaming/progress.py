@@ -55,6 +55,27 @@ def setting_changes(log: DataFrame, key: str, version: str, value: str) -> DataF
     return changed.select(key, version, kind.alias("change"), value)
 
 
+def setting_changes_stream(log: DataFrame, key: str, version: str, value: str) -> DataFrame:
+    """The same of a stream of (key, version, value); each setting's state is its last version and value. Late versions are passed over."""
+
+    def run(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, was = state.get if state.exists else (None, None)
+        out = []
+        for at, now in sorted(((int(v), x) for b in batches for v, x in zip(b["_v"], b["_x"])), key=lambda r: r[0]):
+            if last is not None and at <= last:
+                continue
+            now = None if pd.isna(now) else now
+            if now != was:
+                out.append((name[0], at, "add" if was is None else "delete" if now is None else "update", now))
+            last, was = at, now
+        state.update((last, was))
+        yield pd.DataFrame(out, columns=["k", "v", "change", "x"]).astype({"v": "int64"})
+
+    rows = log.select(F.col(key).cast("string").alias("_k"), F.col(version).cast("long").alias("_v"), F.col(value).cast("string").alias("_x"))
+    found = rows.groupBy("_k").applyInPandasWithState(run, "k string, v long, change string, x string", "last long, was string", "append", GroupStateTimeout.NoTimeout)
+    return found.select(F.col("k").alias(key), F.col("v").alias(version), "change", F.col("x").alias(value))
+
+
 def windowed_counts(events: DataFrame, late: str = "10 minutes", size: str = "5 minutes") -> DataFrame:
     """Counts and sums by event time and type, with a bound on late events; for streams and tables."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
