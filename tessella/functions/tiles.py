@@ -8,6 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Fixed value: the query of a GetTile request, with places for zoom, column and row.
+TILE_QUERY = "?style=default&tilematrixset=EPSG%3A3857&Service=WMTS&Request=GetTile&Version=1.0.0&Format=image%2Fpng&TileMatrix={zoom}&TileCol={col}&TileRow={row}"
+
+
 def tile_col(lon: Column, zoom: int) -> Column:
     return ((lon + 180) / 360 * F.lit(float(1 << zoom))).cast("long")
 
@@ -29,5 +33,6 @@ def tile_extent(row: Column, col: Column, zoom: int) -> list[Column]:
 
 def tile_url(base: Column, zoom: int, col: Column, row: Column) -> Column:
     """GetTile request of a WMTS service."""
-    query = "?style=default&tilematrixset=EPSG%3A3857&Service=WMTS&Request=GetTile&Version=1.0.0&Format=image%2Fpng"
-    return F.concat(base, F.lit(f"{query}&TileMatrix={zoom}&TileCol="), col.cast("string"), F.lit("&TileRow="), row.cast("string"))
+    start, rest = TILE_QUERY.replace("{zoom}", str(zoom)).split("{col}")
+    middle, _ = rest.split("{row}")
+    return F.concat(base, F.lit(start), col.cast("string"), F.lit(middle), row.cast("string"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.client.errors import Delays
 from tessella.functions import text, tiles
+from tessella.functions.tiles import TILE_QUERY
 from tessella.operators import raster
 from tessella.operators import tasks as ops
 from tessella.plans.views import GEO_POINTS, TASKS, geo_points, query, table, task_events, tasks
@@ -110,7 +112,8 @@ def hash_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def retry_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Longest delay before each further attempt, with base 5 and at most 1200 seconds."""
-    return spark.range(1, 11).select(F.col("id").alias("attempt"), F.least(F.lit(5.0) * F.pow(F.lit(2.0), F.col("id")), F.lit(1200.0)).alias("delay"))
+    wait = Delays(5.0, 1200.0, jitter=False)
+    return spark.createDataFrame([(n, wait(n)) for n in range(1, 11)], "attempt long, delay double")
 
 
 def tile_rowcol(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,7 +211,7 @@ SQL = {
         f"SELECT id, round(c / 4096 * 360e0 - 180e0, 9) AS min_x, round({_LAT.format('pi() * (1 - 2 * (r + 1) / 4096)')}, 9) AS min_y, round((c + 1) / 4096 * 360e0 - 180e0, 9) AS max_x, round({_LAT.format('pi() * (1 - 2 * r / 4096)')}, 9) AS max_y FROM rc",
         GEO_POINTS, _ROWCOL),
     "tile_urls": query(
-        """SELECT id, r AS "row", c AS col, 'http://tiles.example.org/wmts?style=default&tilematrixset=EPSG%3A3857&Service=WMTS&Request=GetTile&Version=1.0.0&Format=image%2Fpng&TileMatrix=12&TileCol=' || c || '&TileRow=' || r AS url FROM tiles""",
+        f"""SELECT id, r AS "row", c AS col, 'http://tiles.example.org/wmts{TILE_QUERY.format(zoom=12, col="' || c || '", row="' || r || '")}' AS url FROM tiles""",
         GEO_POINTS, _TILES),
     "tile_mosaic_layout": query(
         """SELECT id, r AS "row", c AS col, (r - min(r) OVER g) * 256 AS off_y, (c - min(c) OVER g) * 256 AS off_x, (max(r) OVER g - min(r) OVER g + 1) * 256 AS height,
