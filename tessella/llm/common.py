@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessella.storage import materialise, shared_dir
 
-__all__ = ["as_bytes", "fresh_name", "in_slices", "join_groups", "materialise", "mix", "read", "shared_dir", "shuffle_width", "word_hashes"]
+__all__ = ["as_bytes", "fresh_name", "in_slices", "join_groups", "materialise", "mix", "planned_bytes", "read", "shared_dir", "shuffle_width", "word_hashes"]
 
 #: Keys whose group holds more than this share of all rows are joined by broadcast; there are at most 1 / HOT_SHARE of them.
 HOT_SHARE = 0.001
@@ -122,6 +122,12 @@ def shuffle_width(spark: SparkSession, per_partition: int = 1) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))) * per_partition
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """Bytes that the planner takes a frame to have; 0 if it does not know."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int) -> DataFrame:
     """Inner join of rows to one group row each, safe against a key that holds a large part of the rows.
 

@@ -9,12 +9,14 @@ as it is taken.
 Targets: the weights repeat over the sources in code-point order, null last; the mix has `share` times all words; no
 target is above `most` times its source's words, and the excess is reshared by weight.
 
-Nothing is ordered in one task but tables of a row per source; the running sums over a line are taken in two levels,
-over buckets of the hash and inside each. Rows of one source differ in bucket and block, so a source of many rows is
-spread as well.
-
-Defined results: null texts have no words; documents without words take nothing; rows that tie on id and size are
-interchangeable; null sources are one source; extra columns are ignored; an empty table gives an empty result.
+Nothing is ordered in one task but tables of a row per source; the running sums over a line are taken in three levels,
+inside buckets of the hash, over the buckets of a range of buckets, and over those ranges. Rows of one source differ in
+bucket and block, so a source of many rows is spread as well. The hash is of id and text, so that rows without an id or
+with one id are spread too.
+
+Defined results: null texts have no words; texts of any length are counted whole; documents without words take nothing;
+rows that tie on id and text are interchangeable; null sources are one source; repeated rows each have their place; extra
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +29,9 @@ from tessella.llm.common import fresh_name, materialise
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 #: Blocks that a source of many words is cut into, about; documents that a bucket of the hash holds, about.
-BLOCKS, BUCKET = 4096, 1024
+BLOCKS, BUCKET = 4096, 128
+#: Buckets whose sums one task orders.
+RANGE = 1 << 14
 #: Golden ratio as a fraction of 2^31: point i of the sequence is i * STEP modulo CYCLE.
 STEP, CYCLE = 1327217885, 1 << 31
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -40,7 +44,7 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str, source_col: str, keep
         docs.select(
             F.col(id_col).alias("id"),
             F.coalesce(F.regexp_count(text_col, F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
-            F.md5(F.concat(F.lit(SEED), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary")).alias("place"),
+            F.md5(F.concat(F.lit(SEED), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit("/"), F.coalesce(F.col(text_col), F.lit(""))).cast("binary")).alias("place"),
             F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")).alias("src"),
             *[c.alias(n) for n, c in keep.items()],
         )
@@ -90,7 +94,7 @@ def schedule(sources: DataFrame, most: int = MOST) -> DataFrame:
     total = sources.agg(F.sum("slots")).first()[0] or 0
     # Every whole number below the total belongs to one source; together they are the cumulative weights.
     owners = sources.where("slots > 0").select("src", "n_blocks", F.explode(F.expr("sequence(low, low + slots - 1)")).alias("point"))
-    point = ((F.col("slot") % CYCLE * STEP % CYCLE) * total / CYCLE).cast("long") if total >= CYCLE else F.expr(f"(slot % {CYCLE} * {STEP} % {CYCLE}) * {total} div {CYCLE}")
+    point = F.expr(f"cast(slot % {CYCLE} * {STEP} % {CYCLE} as decimal(10, 0)) * cast({total} as decimal(20, 0)) div {CYCLE}")
     slots = sources.sparkSession.range(total).select(F.col("id").alias("slot")).withColumn("point", point)
     ranked = slots.join(owners, "point").withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("slot")).cast("long") - 1)
     return ranked.select(
@@ -103,8 +107,11 @@ def _lines(sized: DataFrame, bucket: int) -> DataFrame:
     n = max(1, -(-sized.count() // bucket))
     rows = sized.where("size > 0").withColumn("bucket", F.expr(f"cast(conv(substring(place, 1, 7), 16, 10) as long) * {n} div {1 << 28}"))
     sums = rows.groupBy("src", "bucket").agg(F.sum("size").alias("words"))
-    earlier = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("src", "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("base"))
+    sums = sums.withColumn("range", F.expr(f"bucket div {RANGE}"))
+    earlier = Window.partitionBy("src", "range").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    wider = Window.partitionBy("src").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = sums.groupBy("src", "range").agg(F.sum("words").alias("words")).select("src", "range", F.coalesce(F.sum("words").over(wider), F.lit(0)).alias("before"))
+    sums = sums.withColumn("own", F.coalesce(F.sum("words").over(earlier), F.lit(0))).join(ranges, ["src", "range"]).select("src", "bucket", (F.col("before") + F.col("own")).alias("base"))
     inside = Window.partitionBy("src", "bucket").orderBy("place", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     return rows.join(sums, ["src", "bucket"]).withColumn("at", F.col("base") + F.col("inner")).drop("base", "inner", "bucket", "place")

@@ -212,7 +212,7 @@ SQL: dict[str, str] = {
         FROM e GROUP BY conv_id""",
     "op9_source_mixing": r"""
         WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-                          md5('mix-1/' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS place FROM documents),
+                          md5('mix-1/' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '/' || coalesce(text, '')) AS place FROM documents),
         s0 AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nth FROM d GROUP BY source),
         s1 AS (SELECT *, ([3, 1, 2])[nth % 3 + 1]::DOUBLE AS weight, (sum(source_size) OVER ())::DOUBLE * 1.5e0 AS total, source_size * 2.0e0 AS bound FROM s0),
         s2 AS (SELECT *, total - coalesce(sum(bound) OVER (ORDER BY source_size / weight, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS remains,

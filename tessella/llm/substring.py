@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import as_bytes, mix, shuffle_width, word_hashes
+from tessella.llm.common import as_bytes, mix, planned_bytes, shuffle_width, word_hashes
 
 WINDOW = 35
 #: Bytes of the source (as the planner knows them) that a chunk has, about, and that a range of hashes stands for.
@@ -195,8 +195,7 @@ def _keep(window: int, done: list[int], id_type: pa.DataType):
 
 def _parts(docs: DataFrame) -> tuple[int, int]:
     """Chunks of documents and ranges of hashes: by the planner's size, and one of each for each shuffle partition at least."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    known, width = (size if size < 1 << 60 else 0), shuffle_width(docs.sparkSession)
+    known, width = planned_bytes(docs), shuffle_width(docs.sparkSession)
     return max(width, known // CHUNK_BYTES), max(width, known // RANGE_BYTES)
 
 

@@ -1,15 +1,17 @@
 """Token-id output: documents in ascending id order, encoded to wavelet-matrix shards, and read back from them.
 
 Documents are range-partitioned by id (and a hash of the text, so that one id of many rows is split too), sorted, and
-encoded in that order; a shard is closed when it holds `shard_tokens` tokens. A shard is a file of its own, as bytes in
-one row of a Parquet table, so that any file system Spark writes to can hold it.
+encoded in that order; a shard is closed when it holds `shard_tokens` tokens. A shard is one compressed file, kept as the
+bytes of one row of a Parquet table, so that any file system Spark writes to can hold it. There are as many partitions as
+the planner's size of the documents asks for, and one for each shuffle partition at least.
 
 Texts of simple characters are encoded chunk by chunk: no piece that the tokenizer makes crosses white space, so a
 chunk's ids are looked up in a bounded memo, and unknown chunks of a slice are encoded together. Other texts are
 encoded whole. Both give the ids of `Tokenizer.encode(text, add_special_tokens=False)`.
 
 Defined results: null texts are empty and have the end id alone; null document ids come first; rows that tie on id are
-ordered by a hash of the text; extra columns are ignored; an empty table gives no shard and no row.
+ordered by a hash of the text; texts of any length are encoded whole, and a document is never cut between shards; repeated
+rows are documents of their own; ids may have any type; extra columns are ignored; an empty table gives no shard and no row.
 """
 
 from __future__ import annotations
@@ -27,10 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.llm.common import as_bytes, shuffle_width
+from tessella.llm.common import as_bytes, planned_bytes, shuffle_width
 from tessella.llm.wavelet import pack, unpack
 
 SHARD_TOKENS, END_ID = 1 << 20, 2
+#: Bytes of the source, as the planner knows them, that a partition encodes, about.
+PART_BYTES = 64 << 20
 #: Characters encoded together, and chunks that the memo holds before it is trimmed.
 SLICE_CHARS, MEMO = 1 << 20, 400_000
 #: Texts with anything else, or with what may begin a special token, are encoded whole.
@@ -48,6 +52,8 @@ class Encoder:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        added = [re.escape(t["content"]) for t in spec.get("added_tokens") or []]
+        self.special = re.compile("|".join(added) if added else "(?!)", re.I)
         suffix = spec["model"].get("end_of_word_suffix")
         kinds = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         parts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
@@ -90,8 +96,8 @@ class Encoder:
         self.flat = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)]
         self.start, self.size, self.used = ends - size, size, self.used[kept] // 2
 
-    def _learn(self) -> None:
-        """Encode the chunks seen for the first time."""
+    def _learn(self) -> bool:
+        """Encode the chunks seen for the first time; False if pieces and tokens do not agree."""
         pieces, counts = [], []
         for chunk in self.fresh:
             # Letters alone are one piece, and a mark after letters another; the pattern finds the rest.
@@ -107,25 +113,29 @@ class Encoder:
         # A piece ends where a token with the suffix does; a chunk where its last piece does.
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(pieces):
-            raise AssertionError("pieces and tokens do not agree")
+            return False
         cuts = np.r_[0, ends][np.r_[0, np.cumsum(counts)].astype(np.int64)]
         self.start = np.r_[self.start, len(self.flat) + cuts[:-1]]
         self.size = np.r_[self.size, np.diff(cuts)]
         self.flat = np.r_[self.flat, ids]
         self.fresh.clear()
+        return True
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
         codes: list[list[int]] = []
         simple = []
         for i, text in enumerate(texts):
-            if self.pattern is None or _ODD.search(text):
+            if self.pattern is None or _ODD.search(text) or self.special.search(text):
                 out[i] = np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
             else:
                 codes.append(list(map(self.memo.__getitem__, text.lower().split())))
                 simple.append(i)
-        if self.fresh:
-            self._learn()
+        if self.fresh and not self._learn():
+            # The tokenizer is of another kind after all: all texts are encoded whole.
+            self.pattern = None
+            self._start([])
+            return self.encode(texts)
         if simple:
             code = np.fromiter(chain.from_iterable(codes), dtype=np.int64)
             self.used = np.bincount(code, minlength=len(self.size)) + np.pad(self.used, (0, len(self.size) - len(self.used)))
@@ -136,7 +146,7 @@ class Encoder:
             cut = np.r_[0, ends][np.r_[0, words]]
             for k, i in enumerate(simple):
                 out[i] = ids[cut[k] : cut[k + 1]]
-        if len(self.memo) > MEMO:
+        if len(self.memo) > MEMO and self.pattern is not None:
             self._trim()
         return out
 
@@ -146,7 +156,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _shards(path: str, shard_tokens: int):
+def _shards(path: str, shard_tokens: int, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         partition, nth = TaskContext.get().partitionId(), 0
@@ -154,7 +164,7 @@ def _shards(path: str, shard_tokens: int):
 
         def close():
             nonlocal nth, parts, documents, size
-            blob = pack(np.concatenate(parts), documents)
+            blob = pack(np.concatenate(parts), documents, id_type)
             row = [partition, nth, len(documents), size, blob]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             nth, parts, documents, size = nth + 1, [], [], 0
@@ -187,9 +197,13 @@ def _shards(path: str, shard_tokens: int):
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS) -> None:
+    from pyspark.sql.pandas.types import to_arrow_type
+
     rows = docs.select(F.col(id_col).alias("id"), as_bytes(text_col).alias("text")).withColumn("tie", F.xxhash64("text"))
-    ordered = rows.repartitionByRange(shuffle_width(docs.sparkSession), "id", "tie").sortWithinPartitions("id", "tie")
-    ordered.select("id", "text").mapInArrow(_shards(tokenizer, shard_tokens), "part long, nth long, documents long, tokens long, shard binary").write.mode(
+    width = max(shuffle_width(docs.sparkSession), planned_bytes(docs.select(id_col, text_col)) // PART_BYTES)
+    ordered = rows.repartitionByRange(width, "id", "tie").sortWithinPartitions("id", "tie")
+    kind = to_arrow_type(docs.schema[id_col].dataType)
+    ordered.select("id", "text").mapInArrow(_shards(tokenizer, shard_tokens, kind), "part long, nth long, documents long, tokens long, shard binary").write.mode(
         "overwrite"
     ).parquet(path)
 

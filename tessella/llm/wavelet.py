@@ -7,20 +7,20 @@ of an id in any range, and the places of an id need no other index.
 
 File: MAGIC, then the header as little-endian unsigned 64-bit numbers (tokens, width, documents, bytes of the document
 table), the document table, then for each plane its number of zeros, the length of its compressed bytes (both unsigned
-64-bit) and those bytes (zstd of directory and bits). The document table is a zstd-compressed JSON list of ids and token
-counts.
+64-bit) and those bytes (zstd of directory and bits). The document table is a zstd-compressed Arrow stream of ids, of
+whatever type they have, and token counts.
 """
 
 from __future__ import annotations
 
-import json
 import struct
 from functools import cached_property
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 
-MAGIC = b"TSLWM\x00\x00\x01"
+MAGIC = b"TSLWM\x00\x00\x02"
 BLOCK = 512
 
 
@@ -124,11 +124,15 @@ class WaveletMatrix:
         return sorted(found)
 
 
-def pack(tokens: np.ndarray, documents: list[tuple[object, int]]) -> bytes:
+def pack(tokens: np.ndarray, documents: list[tuple[object, int]], id_type: pa.DataType | None = None) -> bytes:
     """A shard file of the tokens of (id, number of tokens) documents."""
     squeeze = zstandard.ZstdCompressor(level=1).compress
     matrix = WaveletMatrix.of(tokens)
-    table = squeeze(json.dumps(documents).encode())
+    rows = pa.table({"id": pa.array([d for d, _ in documents], id_type), "n": pa.array([n for _, n in documents], pa.int64())})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as stream:
+        stream.write_table(rows)
+    table = squeeze(sink.getvalue().to_pybytes())
     out = [MAGIC, struct.pack("<4Q", matrix.n, matrix.width, len(documents), len(table)), table]
     for plane, zeros in zip(matrix.planes, matrix.zeros):
         body = squeeze(plane.ranks.tobytes() + plane.packed.tobytes())
@@ -143,7 +147,8 @@ def unpack(blob: bytes) -> tuple[WaveletMatrix, list[list]]:
     expand = zstandard.ZstdDecompressor().decompress
     n, width, documents, size = struct.unpack_from("<4Q", blob, len(MAGIC))
     at = len(MAGIC) + 32
-    table = json.loads(expand(blob[at : at + size]))
+    rows = pa.ipc.open_stream(expand(blob[at : at + size])).read_all()
+    table = [list(r) for r in zip(rows.column("id").to_pylist(), rows.column("n").to_pylist())]
     if len(table) != documents:
         raise ValueError("the document table is cut short")
     at += size

@@ -226,6 +226,29 @@ def test_archive_round_trip(spark):
         assert int(re.search(rb"\nContent-Length: (\d+)$", head)[1]) == len(http) + 4 + len(tail) - 4
 
 
+def test_archive_exports_valid_records(spark, tmp_path):
+    big = "p" * 3000
+    pages = [(i, f"http://h/{i}\r\nx", big if i % 3 else f"small {i}") for i in range(30)] + [(40, "u", big)] * 12
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    path = shared_dir(spark)
+    warc.write_archive(df, path)
+    assert warc.read_archive(spark, path, spread=3).where("record_type = 'response' AND payload_bytes = 3000").count() == 12
+    warc.export_warc(spark, path, str(tmp_path), files=2)
+    found, payloads = [], []
+    for name in ("00000.warc", "00001.warc"):
+        data = (tmp_path / name).read_bytes()
+        while data:
+            head, _, rest = data.partition(b"\r\n\r\n")
+            fields = dict(line.split(b": ", 1) for line in head.split(b"\r\n")[1:])
+            size = int(fields[b"Content-Length"])
+            assert head.startswith(b"WARC/1.1\r\n") and rest[size : size + 4] == b"\r\n\r\n" and re.fullmatch(rb"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", fields[b"WARC-Date"])
+            found.append(fields[b"WARC-Target-URI"])
+            payloads.append(rest[:size].partition(b"\r\n\r\n")[2])
+            data = rest[size + 4 :]
+    assert sorted(found) == sorted((u.replace("\r", "%0D").replace("\n", "%0A")).encode() for _, u, _ in pages)
+    assert payloads.count(big.encode()) == 12 and payloads.count(b"") == 20
+
+
 def test_archive_fails_on_other_bytes(spark):
     path = shared_dir(spark)
     warc.write_archive(spark.createDataFrame([(1, "u", "a" * 2000)], "page_id long, url string, html string"), path)
@@ -672,6 +695,24 @@ def test_encoder_gives_the_library_s_ids(monkeypatch, sf_dir):
         assert [g.tolist() for g in got] == [coder.whole.encode(x, add_special_tokens=False).ids for x in part]
 
 
+def test_shards_of_other_ids_and_tokenizers(spark, monkeypatch):
+    import datetime
+    import decimal
+
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    for kind, values in (("date", [datetime.date(2020, 1, k) for k in (1, 2, 3)]), ("decimal(10,2)", [decimal.Decimal(f"{k}.50") for k in (1, 2, 3)]), ("binary", [b"a", b"b", b"c"]), ("string", ["x", "y", None])):
+        df = spark.createDataFrame([(v, f"some text {k}") for k, v in enumerate(values)], f"doc_id {kind}, text string")
+        got = tokens.token_documents(df, shared_dir(spark), path).collect()
+        assert {repr(bytes(r["doc_id"]) if kind == "binary" else r["doc_id"]) for r in got} == {repr(v) for v in values}
+    coder = tokens.Encoder(path)
+    monkeypatch.setattr(coder, "ends", np.zeros_like(coder.ends))
+    assert [g.tolist() for g in coder.encode(["it's one", "two"])] == [t.encode(x, add_special_tokens=False).ids for x in ("it's one", "two")]
+    assert coder.pattern is None
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(1)
     for n in (0, 1, 7, 8, 511, 512, 513, 3000):
