@@ -31,8 +31,8 @@ def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def write_text(spark: SparkSession, path: str, pieces: Iterable[str], append: bool = False) -> None:
-    """One text file of the pieces, on any file system that Spark knows; a new file takes the place of the old when it is whole."""
+def write_bytes(spark: SparkSession, path: str, pieces: Iterable[bytes], append: bool = False) -> None:
+    """One file of the pieces, on any file system that Spark knows; a new file takes the place of the old when it is whole."""
     jvm = spark.sparkContext._jvm
     target, fresh = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.{uuid.uuid4().hex}"))
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -47,11 +47,16 @@ def write_text(spark: SparkSession, path: str, pieces: Iterable[str], append: bo
             held.append(piece)
             size += len(piece)
             if size >= 1 << 20:
-                out.write(bytearray("".join(held).encode()))
+                out.write(bytearray(b"".join(held)))
                 held, size = [], 0
-        out.write(bytearray("".join(held).encode()))
+        out.write(bytearray(b"".join(held)))
     finally:
         out.close()
     if fs.exists(target):
         fs.delete(target, False)
     fs.rename(fresh, target)
+
+
+def write_text(spark: SparkSession, path: str, pieces: Iterable[str], append: bool = False) -> None:
+    """The same of text."""
+    write_bytes(spark, path, (piece.encode() for piece in pieces), append)
