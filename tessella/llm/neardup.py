@@ -2,16 +2,17 @@
 
 Words are as in simhash; a text's set has its distinct shingles of `shingle` words, fewer words are one shingle. Texts of
 equal sets are one node. A node has a SimHash fingerprint of its shingles, and nodes whose fingerprints anchor covering
-groups (simhash.link_fingerprints) are candidates. At a similarity of 0.8 fingerprints differ in 10 of 64 bits on
+links (simhash.anchor_links) are candidates. At a similarity of 0.8 fingerprints differ in 10 of 64 bits on
 average and in up to 18, which no covering code reaches with few replicas, so a node also has BANDS x ROWS minimum
 hashes, and two nodes are candidates if all ROWS of a band agree: a pair of similarity 0.8 is missed with probability
 (1 - 0.8 ** 4) ** 32 < 5e-8. Candidates are linked if the Jaccard similarity of their whole sets is `least` or more.
 
-First each node is compared with the smallest of its fingerprint group and of each of its bands, and the links are joined
-to components. Bands whose nodes are all in one component are done; in the others all pairs across components are
-looked at, so that no link that would join components is passed over. There pairs are first told apart by their
-minimum hashes: at a similarity of 0.8 fewer than AGREE of 128 agree with probability below 1e-6. Pairs are confirmed in
-cells of nodes that share bands, directly or through others, so that a set is sent to few places and not with each pair.
+First each node is compared with the smallest of its fingerprint, of those that an anchor links to it and of each of its
+bands; whatever is compared is one cluster, and the links join it to components. Clusters with one component are done; in
+the others each component is compared with all others but the largest with itself, so that no link that would join
+components is passed over. Pairs are first told apart by their minimum hashes: at a similarity of 0.8 fewer than AGREE of
+128 agree with probability below 1e-6. Sets are sent to cells of parts of a cluster and compared there, so that no pair
+is a row and a set goes to few places.
 
 Defined results: null, empty and wordless texts have the empty set and are one node; texts of any length are read whole,
 a slice at a time; rows without an id are as in simhash; repeated rows are one node; extra columns are ignored; an empty
@@ -35,10 +36,10 @@ SHINGLE, LEAST, SEED = 5, 0.8, 42
 BANDS, ROWS = 32, 4
 #: Minimum hashes, of BANDS x ROWS, that agree in every pair worth a look, at the default similarity.
 AGREE = 76
-#: Nodes of a band that one group compares with as many others, and hashes that are permuted at once.
-CELL, HASHES = 1024, 1024
+#: Hashes that are permuted at once, and sets that one is compared with at once.
+HASHES, TOGETHER = 1024, 32
 #: Bytes of sets that a part of a cluster has, about, and bytes of a set that are one row.
-BLOCK, PIECE = 4 << 20, 8 << 10
+BLOCK, PIECE = 1 << 20, 8 << 10
 _RANDOM = np.random.default_rng(SEED).integers(0, 1 << 32, (2, BANDS * ROWS), dtype=np.uint32)
 _TIMES, _PLUS = _RANDOM[0] | np.uint32(1), _RANDOM[1]
 _LENGTH = np.uint64(0x9E3779B97F4A7C15)
@@ -176,67 +177,108 @@ def _in_order(pairs: DataFrame) -> DataFrame:
     return materialise(pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
 
 
+def _overlaps(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many hashes of each of the other sets are in this one."""
+    flat, sizes = np.concatenate(others), np.array([len(o) for o in others])
+    at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+    return np.array([c.sum() for c in np.split(own[at] == flat, np.cumsum(sizes)[:-1])])
+
+
 def _across(least: float, agree: int):
-    """Pairs of nodes of different components, of like sizes and with `agree` equal minimum hashes, of groups that follow one another."""
+    """Links across components in cells that follow one another.
+
+    The nodes of a cell's side 1 are compared with those of side 0, or with one another if it has none. Of the nodes of
+    other components, like size and `agree` equal minimum hashes, those most alike come first; what is joined meanwhile is
+    passed over, so that a cell gives fewer links than it has components.
+    """
+
+    def links(nodes: list[list]) -> list[tuple[bytes, bytes]]:
+        name, side, size, sign, root, pieces = zip(*nodes)
+        side, size = np.array(side), np.array(size)
+        sign = np.frombuffer(b"".join(sign), np.uint8).reshape(len(side), -1)
+        component = np.unique(np.array([r.hex() for r in root]), return_inverse=True)[1]
+        top, sets, found = np.arange(component.max() + 1), {}, []
+
+        def hashes(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = np.frombuffer(b"".join(pieces[i]), np.uint64)
+            return sets[i]
 
-    def pairs(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        side = group.column("side").to_numpy()
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        root, size = group.column("root").combine_chunks().dictionary_encode().indices.to_numpy(), group.column("size").to_numpy()
-        sign = np.frombuffer(b"".join(group.column("sign").to_pylist()), np.uint8).reshape(len(side), -1)
-        left, right = [], []
-        for i in a:
-            j = b[(root[b] != root[i]) & (np.minimum(size[b], size[i]) >= least * np.maximum(size[b], size[i]))]
-            if len(j):
-                j = j[(sign[j] == sign[i]).sum(axis=1) >= agree]
-                left.append(np.full(len(j), i))
-                right.append(j)
-        return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-    def found(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        i, j = pairs(group)
-        if len(i):
-            node = group.column("node").combine_chunks()
-            yield pa.RecordBatch.from_arrays([node.take(pa.array(i)), node.take(pa.array(j))], names=["u", "v"])
+        for n, i in enumerate(b.tolist()):
+            j = a if len(a) else b[n + 1 :]
+            j = j[(top[component[j]] != top[component[i]]) & (np.minimum(size[j], size[i]) >= least * np.maximum(size[j], size[i]))]
+            equal = (sign[j] == sign[i]).sum(axis=1)
+            j = j[np.argsort(-equal, kind="stable")][: np.count_nonzero(equal >= agree)]
+            while len(j):
+                now, j = j[:TOGETHER], j[TOGETHER:]
+                both = _overlaps(hashes(i), [hashes(k) for k in now.tolist()])
+                for k in now[both >= least * (size[now] + size[i] - both)].tolist():
+                    x, y = top[component[i]], top[component[k]]
+                    if x != y:
+                        top[top == x] = y
+                        found.append((name[i], name[k]))
+                j = j[top[component[j]] != top[component[i]]]
+        return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        cell, nodes = None, []
         for batch in batches:
-            now = pa.Table.from_batches([batch])
-            now = pa.concat_tables([rest, now]) if rest is not None else now
-            keys = np.stack([now.column(k).to_numpy() for k in ("band", "p", "q")])
-            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist()] if now.num_rows else []
-            for x, y in zip(cuts, cuts[1:]):
-                yield from found(now.slice(x, y - x))
-            rest = now.slice(cuts[-1]).combine_chunks() if cuts else None
-        if rest is not None:
-            yield from found(rest)
+            linked = []
+            for *key, node, side, size, sign, root, piece in zip(*(batch.column(c).to_pylist() for c in ("cluster", "p", "q", "node", "side", "size", "sign", "root", "piece"))):
+                if key != cell:
+                    linked += links(nodes) if len(nodes) > 1 else []
+                    cell, nodes = key, []
+                if nodes and nodes[-1][0] == node:
+                    nodes[-1][-1].append(piece)
+                else:
+                    nodes.append([node, side, size, sign, root, [piece]])
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in linked], pa.binary()) for k in (0, 1)], names=["u", "v"])
+        linked = links(nodes) if len(nodes) > 1 else []
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in linked], pa.binary()) for k in (0, 1)], names=["u", "v"])
 
     return run
 
 
-def _open_pairs(shared: DataFrame, roots: DataFrame, least: float, agree: int, cell: int) -> DataFrame:
-    """Pairs (u, v) across components in the bands (band, node, size, sign) whose nodes are in several."""
-    placed = shared.join(roots, "node", "left").select("band", "node", "size", "sign", F.coalesce("root", "node").alias("root"))
-    placed = materialise(placed)
-    several = placed.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("band", "n")
-    rows = join_groups(placed, materialise(several), "band", "n", placed.count())
-    # A band of more than `cell` nodes is a grid of parts by parts, of which those on one side of the diagonal will do.
-    rows = rows.withColumn("parts", F.ceil(F.col("n") / cell).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    columns = ["band", "p", "q", "node", "size", "sign", "root"]
-    last = F.col("parts") - 1
-    mine = rows.withColumn("p", F.col("own")).withColumn("q", F.explode(F.sequence(F.col("own"), last))).select(*columns, F.lit(0).alias("side"))
-    other = rows.withColumn("q", F.col("own")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("own")))).select(*columns, F.lit(1).alias("side"))
-    both = mine.unionByName(other).repartition("band", "p", "q").sortWithinPartitions("band", "p", "q", "side", "node")
-    return both.mapInArrow(_across(least, agree), "u binary, v binary")
+def _links_across(paired: DataFrame, clusters: DataFrame, roots: DataFrame, sets: DataFrame, least: float, agree: int, block: int) -> DataFrame:
+    """Links between the components of each cluster that has several.
+
+    The nodes of a cluster's largest component are cut into parts of about `block` bytes of sets, and so are all its other
+    nodes. Each part of the others meets each part of both in a cell: nothing is compared inside the largest component, and
+    a set is sent once for each part of the others.
+    """
+    placed = clusters.join(paired.select("node", "sign"), "node").join(roots, "node", "left")
+    placed = materialise(placed.select("node", "cluster", "size", "sign", F.coalesce("root", "node").alias("root")))
+    counts = placed.groupBy("cluster", "root").agg(F.count("*").alias("n"), F.sum("size").alias("hashes"))
+    most = F.max_by(F.struct("root", "hashes"), F.struct("n", "root"))
+    several = counts.groupBy("cluster").agg(F.sum("n").alias("n"), F.count("*").alias("components"), most.alias("most"), F.sum("hashes").alias("hashes")).where("components > 1")
+    several = materialise(several.select("cluster", "n", F.col("most.root").alias("largest"), F.col("most.hashes").alias("inside"), (F.col("hashes") - F.col("most.hashes")).alias("outside")))
+    rows = join_groups(placed, several, "cluster", "n", clusters.count())
+    parts = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) * 8 / block)).cast("int")
+    rows = rows.withColumns({"a": parts("inside"), "b": parts("outside"), "other": F.col("root") != F.col("largest")})
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("other"), F.col("b")).otherwise(F.col("a"))).cast("int"))
+    columns = ["cluster", "node", "size", "sign", "root"]
+    cell = lambda p, q, side: F.struct(p.cast("int").alias("p"), q.cast("int").alias("q"), F.lit(side).alias("side"))
+    every = lambda low, high: F.when(high >= low, F.sequence(low, high)).otherwise(F.expr("cast(array() as array<int>)"))
+    zero, own, last = F.lit(0), F.col("own"), F.col("b") - 1
+    inside = F.transform(F.sequence(zero, last), lambda q: cell(own, q, 0))
+    # Cells of two parts of the others are numbered after those with a part of the largest component.
+    first = F.transform(every(own + 1, last), lambda q: cell(F.col("a") + own, q, 0))
+    second = F.transform(F.sequence(zero, F.col("a") + own), lambda p: cell(p, own, 1))
+    rows = rows.withColumn("cell", F.explode(F.when(F.col("other"), F.concat(first, second)).otherwise(inside))).select(*columns, "cell.*")
+    pieces = F.expr(f"transform(sequence(0, greatest(0, (octet_length(hashes) - 1) div {PIECE})), k -> substring(hashes, k * {PIECE} + 1, {PIECE}))")
+    sent = rows.join(sets, "node").select(*columns, "p", "q", "side", F.posexplode(pieces).alias("nth", "piece"))
+    sent = sent.repartition("cluster", "p", "q").sortWithinPartitions("cluster", "p", "q", "node", "nth")
+    return materialise(sent.select("cluster", "p", "q", "node", "side", "size", "sign", "root", "piece").mapInArrow(_across(least, agree), "u binary, v binary"))
 
 
 def _fingerprint_pairs(nodes: DataFrame, total: int) -> DataFrame:
-    """(u, v): the smallest node of each group of fingerprints that anchors link, with every other of it."""
-    roots = materialise(simhash.link_fingerprints(nodes.select("fp").distinct()))
-    placed = materialise(nodes.select("node", "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("node", F.coalesce("root", "fp").alias("print")))
-    groups = materialise(placed.groupBy("print").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1"))
-    return join_groups(placed, groups, "print", "n", total).select(F.col("hub").alias("u"), F.col("node").alias("v"))
+    """(u, v): the smallest node of each fingerprint with every other of it, and with the smallest of those that an anchor links to it."""
+    hubs = materialise(nodes.groupBy("fp").agg(F.min("node").alias("hub"), F.count("*").alias("n")))
+    same = join_groups(nodes.select("node", "fp"), hubs.where("n > 1"), "fp", "n", total).select(F.col("hub").alias("u"), F.col("node").alias("v"))
+    edges = materialise(simhash.anchor_links(hubs))
+    of = lambda c: hubs.select(F.col("fp").alias(c), F.col("hub").alias(f"{c}_hub"))
+    return same.unionByName(edges.join(of("u"), "u").join(of("v"), "v").select(F.col("u_hub").alias("u"), F.col("v_hub").alias("v")))
 
 
 def label(
@@ -246,7 +288,6 @@ def label(
     shingle: int = SHINGLE,
     least: float = LEAST,
     agree: int = AGREE,
-    cell: int = CELL,
     block: int = BLOCK,
 ) -> DataFrame:
     """One row per document: id, text_key (a hash of the text), fp (the smallest node of its component), component_id."""
@@ -274,8 +315,7 @@ def label(
     clusters = materialise(paired.select("node", "size").join(components(pairs), "node").select("node", "size", F.col("root").alias("cluster")))
     edges = _links(pairs, sets, clusters, least, block)
     roots = materialise(components(edges))
-    known = shared.select("band", "node").join(paired.select("node", "size", "sign"), "node")
-    more = _links(_in_order(_open_pairs(known, roots, least, agree, cell)), sets, clusters, least, block)
+    more = _links_across(paired, clusters, roots, sets, least, agree, block)
     if not more.isEmpty():
         of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
         across = more.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("u_root", "u").alias("u"), F.coalesce("v_root", "v").alias("v"))

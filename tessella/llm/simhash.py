@@ -183,12 +183,16 @@ def _cells(spread: DataFrame, cell: int) -> DataFrame:
     return rest.select(columns).unionByName(both.select(columns))
 
 
-def link_fingerprints(prints: DataFrame, threshold: int = THRESHOLD, home: int = HOME, cell: int = CELL) -> DataFrame:
-    """(node, root) of every linked fingerprint, from a frame of distinct fingerprints `fp`; those without links are left out."""
+def anchor_links(prints: DataFrame, threshold: int = THRESHOLD, home: int = HOME, cell: int = CELL) -> DataFrame:
+    """Edges (u, v) of a forest for each anchor, which together join all linked fingerprints, from a frame of distinct fingerprints `fp`."""
     masks = block_masks(prints.count(), home)
     spread = prints.select("fp").mapInArrow(_spread(masks, threshold), "anchor long, fp long, home boolean")
-    edges = _cells(spread, cell).groupBy("anchor", "cell").applyInPandas(_compare(threshold), "u long, v long")
-    return components(edges)
+    return _cells(spread, cell).groupBy("anchor", "cell").applyInPandas(_compare(threshold), "u long, v long")
+
+
+def link_fingerprints(prints: DataFrame, threshold: int = THRESHOLD, home: int = HOME, cell: int = CELL) -> DataFrame:
+    """(node, root) of every linked fingerprint, from a frame of distinct fingerprints `fp`; those without links are left out."""
+    return components(anchor_links(prints, threshold, home, cell))
 
 
 def label(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:

@@ -4,6 +4,8 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
+
 import corpus_pipeline
 from tessella.llm import neardup
 
@@ -53,27 +55,40 @@ def test_hubs_alone_are_not_enough(spark):
         texts += [" ".join(core[:at] + [f"y{k}{j}" for j in range(8)] + core[at + 8 :]) for k, at in enumerate(range(0, 280, 14))]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     label = brute(texts)
-    for cell, block in ((neardup.CELL, neardup.BLOCK), (3, 9000)):
-        assert {r["id"]: r["component_id"] for r in neardup.label(docs, cell=cell, block=block).collect()} == dict(enumerate(label))
-
-
-def test_open_bands_give_all_pairs_across_components(spark):
-    node = lambda n: bytes([n])
-    sign, other = bytes(128), bytes(52) + bytes([1]) * 76
-    rows = [(1, node(n), 100 + n % 3, sign) for n in range(12)] + [(2, node(n), 100, sign) for n in (20, 21)] + [(3, node(30), 10, sign), (3, node(31), 100, sign)]
-    rows += [(4, node(40), 100, sign), (4, node(41), 100, other), (4, node(42), 100, other)]
-    roots = spark.createDataFrame([(node(n), node(n % 4)) for n in range(12)] + [(node(20), node(20)), (node(21), node(20))], "node binary, root binary")
-    shared = spark.createDataFrame(rows, "band long, node binary, size long, sign binary")
-    want = sorted([(i, j) for i, j in combinations(range(12), 2) if i % 4 != j % 4] + [(41, 42)])
-    for cell in (neardup.CELL, 3):
-        found = neardup._open_pairs(shared, roots, 0.8, neardup.AGREE, cell).collect()
-        assert sorted({tuple(sorted((r["u"][0], r["v"][0]))) for r in found if r["u"] != r["v"]}) == want
+    for block in (neardup.BLOCK, 9000):
+        assert {r["id"]: r["component_id"] for r in neardup.label(docs, block=block).collect()} == dict(enumerate(label))
+
+
+def test_links_across_components(spark):
+    """All components of a cluster are compared, whatever its parts; clusters of one component give nothing."""
+    draw = random.Random(11)
+    core = [draw.randrange(1 << 60) for _ in range(100)]
+    sets = {i: sorted({*core[: 100 - 2 * (i % 8)], *(draw.randrange(1 << 60) for _ in range(i % 8))}) for i in range(40)}
+    name = lambda i: bytes([i])
+    rows = [(name(i), len(s), neardup.minima(np.array(s, np.uint64)).astype(np.uint8).tobytes()) for i, s in sets.items()]
+    paired = spark.createDataFrame(rows, "node binary, size long, sign binary")
+    hashes = spark.createDataFrame([(name(i), np.array(s, np.uint64).tobytes()) for i, s in sets.items()], "node binary, hashes binary")
+    clusters = spark.createDataFrame([(name(i), len(s), name(i // 30)) for i, s in sets.items()], "node binary, size long, cluster binary")
+    roots = {i: 2 if i < 20 else i for i in range(30)} | {i: 30 for i in range(30, 40)}
+    known = spark.createDataFrame([(name(i), name(r)) for i, r in roots.items() if i != r or i == 30], "node binary, root binary")
+    similar = lambda i, j: len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j]))
+    label = dict(roots)
+    for i, j in combinations(range(30), 2):
+        if similar(i, j):
+            a, b = sorted((label[i], label[j]))
+            label = {k: a if x == b else x for k, x in label.items()}
+    for block in (neardup.BLOCK, 4000, 900):
+        found = dict(roots)
+        for r in neardup._links_across(paired, clusters, known, hashes, 0.8, neardup.AGREE, block).collect():
+            i, j = r["u"][0], r["v"][0]
+            assert similar(i, j) and i < 30 and j < 30
+            a, b = sorted((found[i], found[j]))
+            found = {k: a if x == b else x for k, x in found.items()}
+        assert len(set(found.values())) == len(set(label.values())) < len(set(roots.values()))
 
 
 def test_minima_tell_pairs_apart():
     """Pairs of similarity 0.8 or more share a band and AGREE minimum hashes."""
-    import numpy as np
-
     rng = np.random.default_rng(7)
     for _ in range(300):
         both, one = rng.integers(0, 1 << 63, 400, dtype=np.uint64), rng.integers(0, 1 << 63, 50, dtype=np.uint64)
