@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 from tessella.llm.common import as_bytes, mix, planned_bytes, shuffle_width, word_hashes
 
 WINDOW = 35
-#: Bytes of the source (as the planner knows them) that a chunk has, about, and that a range of hashes stands for.
-CHUNK_BYTES, RANGE_BYTES = 4 << 20, 32 << 20
+#: Bytes of the source (as the planner knows them) that a chunk has and that a range of hashes stands for, about: where there
+#: are fewer of them than shuffle partitions, they are made smaller, down to the second number.
+CHUNK_BYTES, RANGE_BYTES = (4 << 20, 1 << 20), (32 << 20, 2 << 20)
 
 def levels(window: int) -> list[int]:
     """Lengths counted in turn: about a quarter of the window, then doubled up to it."""
@@ -194,9 +195,10 @@ def _keep(window: int, done: list[int], id_type: pa.DataType):
 
 
 def _parts(docs: DataFrame) -> tuple[int, int]:
-    """Chunks of documents and ranges of hashes: by the planner's size, and one of each for each shuffle partition at least."""
+    """Chunks of documents and ranges of hashes, by the planner's size; as many as shuffle partitions if it does not know."""
     known, width = planned_bytes(docs), shuffle_width(docs.sparkSession)
-    return max(width, known // CHUNK_BYTES), max(width, known // RANGE_BYTES)
+    parts = lambda usual, least: max(1, known // usual, min(width, known // least)) if known else width
+    return parts(*CHUNK_BYTES), parts(*RANGE_BYTES)
 
 
 def remove_repeats(

@@ -571,6 +571,18 @@ def test_substring_ranges_fill_evenly():
     assert sent.num_rows <= 7
 
 
+def test_substring_parts_follow_the_size(spark, sf_dir):
+    """More shuffle partitions do not make chunks or ranges of next to nothing."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2000")
+    try:
+        chunks, ranges = substring._parts(docs)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert 1 <= ranges <= chunks <= 1 + substring.planned_bytes(docs) // substring.CHUNK_BYTES[1] < 2000
+
+
 def test_words_with_equal_polynomials_stay_apart(spark):
     """Thue-Morse words and their complements have equal sums of powers, whatever the base."""
     word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
