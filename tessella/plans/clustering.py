@@ -51,8 +51,13 @@ def kmeans_lloyd_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dbscan_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = cluster.neighbours(vectors(spark, sf_dir), "vec_id", EPS)
-    return pairs.groupBy("a").agg(F.count("*").alias("n")).select(F.col("a").alias("vec_id"), "n", (F.col("n") >= 3).alias("is_core"))
+    return cluster.degrees(vectors(spark, sf_dir), "vec_id", EPS).withColumn("is_core", F.col("n") >= 3)
+
+
+def eps_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs within 1, each once."""
+    pairs = cluster.neighbours(vectors(spark, sf_dir), "vec_id", 1.0).where("a < b")
+    return pairs.select("a", "b", F.round("d2", 6).alias("d2"))
 
 
 def dbscan_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +83,7 @@ def calinski_harabasz(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        minmax_scale, standard_scale, v_measure, pca_scores, kmeans_assign, kmeans_lloyd_step, dbscan_neighbors, dbscan_labels, agglomerative_labels, silhouette,
+        minmax_scale, standard_scale, v_measure, pca_scores, kmeans_assign, kmeans_lloyd_step, dbscan_neighbors, eps_pairs, dbscan_labels, agglomerative_labels, silhouette,
         calinski_harabasz,
     )
 }
@@ -110,6 +115,7 @@ SQL = {
         f"""SELECT cluster, count(*) AS n, {_POS}, round(avg(x), 6) AS x FROM vectors JOIN
         (SELECT a AS vec_id, min_by(b, d2 * 1e6 + b * 1e-9) AS cluster FROM pairs WHERE b < 8 GROUP BY a) USING (vec_id) GROUP BY cluster, pos""", VECTORS, _PAIRS),
     "dbscan_neighbors": query(f"SELECT a AS vec_id, count(*) AS n, count(*) >= 3 AS is_core FROM pairs WHERE d2 <= {EPS}e0 * {EPS}e0 GROUP BY a", VECTORS, _PAIRS),
+    "eps_pairs": query("SELECT a, b, round(d2, 6) AS d2 FROM pairs WHERE a < b AND d2 <= 1e0", VECTORS, _PAIRS),
     "dbscan_labels": query(
         f"""SELECT v.vec_id, coalesce(own.l, min(near.l), -1) AS cluster FROM (SELECT DISTINCT vec_id FROM vectors) v
         LEFT JOIN labels own ON own.p = v.vec_id LEFT JOIN near_pairs n ON n.a = v.vec_id LEFT JOIN labels near ON near.p = n.b GROUP BY v.vec_id, own.l""",
