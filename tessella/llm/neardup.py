@@ -68,9 +68,8 @@ def minima(hashes: np.ndarray) -> np.ndarray:
 
 def _hashed(texts: list[bytes], shingle: int) -> Iterator[np.ndarray]:
     """Shingle hashes of each text, repeats included."""
-    lower = [t.lower() for t in texts]
-    for a, b in in_slices(lower):
-        words, counts = word_hashes(lower[a:b], SEED)
+    for a, b in in_slices(texts):
+        words, counts = word_hashes([t.lower() for t in texts[a:b]], SEED)
         ends = np.cumsum(counts)
         yield from (shingle_hashes(words[x:y], shingle) for x, y in zip(ends - counts, ends))
 
