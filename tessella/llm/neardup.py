@@ -294,12 +294,12 @@ def label(
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"), as_bytes(text_col).alias("text"))
     rows = materialise(keyed.mapInArrow(_sketches(shingle), f"id {kind}, text_key long, node binary, size long, fp long, sign binary, bands array<bigint>"))
     total = rows.count()
-    # Equal sets have equal sketches, so that any row of a node will do.
+    # Equal sets have equal sketches, so that any row of a node will do; texts of equal sets may differ, so that id and text are of one row.
     nodes = rows.groupBy("node").agg(
-        F.min("text_key").alias("text_key"), F.min("size").alias("size"), F.min("fp").alias("fp"), F.min("sign").alias("sign"), F.min("id").alias("least"),
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("row"), F.min("size").alias("size"), F.min("fp").alias("fp"), F.min("sign").alias("sign"),
         F.count("*").alias("copies"), F.first("bands").alias("bands"),
     )
-    nodes = materialise(nodes)
+    nodes = materialise(nodes.withColumns({"text_key": F.col("row.text_key"), "least": F.col("row.id")}).drop("row"))
     n_nodes = nodes.count()
     spread = nodes.select(F.explode("bands").alias("band"), "node")
     hubs = materialise(spread.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1"))

@@ -108,3 +108,25 @@ def test_long_texts_in_pieces(spark):
 
 def test_near_empty(spark):
     assert neardup.label(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_texts_of_equal_sets_that_differ(spark):
+    """Case, spacing and repeats make other texts of the same set, whichever of them has the smallest id."""
+    draw = random.Random(5)
+    texts = []
+    for _ in range(8):
+        words = [f"w{draw.randrange(5000)}" for _ in range(100)]
+        same = [" ".join(words), "  ".join(words), " ".join(words).upper(), " ".join(words * 2 + words[:4]), " ".join(words * 3 + words[:4])]
+        draw.shuffle(same)
+        words[50] = "other"
+        texts += [*same, " ".join(words)]
+    label = brute(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["id"]: r["component_id"] for r in neardup.label(docs).collect()} == dict(enumerate(label))
+    # Rows without an id stay out of the choice of the smallest.
+    some = spark.createDataFrame([(None if n % 6 == 0 else n, t) for n, t in enumerate(texts)], "doc_id long, text string")
+    least = {}
+    for n, x in enumerate(label):
+        if n % 6:
+            least.setdefault(x, n)
+    assert sorted((r["id"] or -1, r["component_id"]) for r in neardup.label(some).collect()) == sorted((n if n % 6 else -1, least[x]) for n, x in enumerate(label))
