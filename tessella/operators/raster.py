@@ -207,40 +207,44 @@ def mosaic(tiles: DataFrame, key: list[str], tile: int = 256) -> DataFrame:
     )
 
 
+def _inside(points: list[dict], height: int, width: int) -> np.ndarray:
+    """Whether each pixel's centre is in a ring, by the even-odd rule; an edge's place is worked out once for each row."""
+    y, x = np.arange(height)[:, None] + 0.5, np.arange(width) + 0.5
+    inside = np.zeros((height, width), dtype=bool)
+    for i, p in enumerate(points):
+        q = points[i - 1]
+        if p["y"] != q["y"]:
+            crossed = (p["y"] > y) != (q["y"] > y)
+            inside ^= crossed & (x < (q["x"] - p["x"]) * (y - p["y"]) / (q["y"] - p["y"]) + p["x"])
+    return inside
+
+
 def ring_mask(ring: Column, height: int, width: int) -> Column:
     """Mask of a ring in pixel coordinates (y down): 1 where a pixel's centre is inside by the even-odd rule."""
 
     @F.pandas_udf("array<int>")
     def run(rings: pd.Series) -> pd.Series:
-        y, x = np.mgrid[0:height, 0:width] + 0.5
-        out = []
-        for points in rings:
-            inside = np.zeros((height, width), dtype=bool)
-            for i, p in enumerate(points):
-                q = points[i - 1]
-                if p["y"] != q["y"]:
-                    crossed = (p["y"] > y) != (q["y"] > y)
-                    inside ^= crossed & (x < (q["x"] - p["x"]) * (y - p["y"]) / (q["y"] - p["y"]) + p["x"])
-            out.append(inside.astype(np.int32).ravel())
-        return pd.Series(out)
+        return pd.Series([_inside(points, height, width).astype(np.int32).ravel() for points in rings])
 
     return run(ring)
 
 
 def ring_rle(ring: Column, height: int, width: int) -> Column:
-    """Run lengths of a ring's mask column by column, from zeros; the ring is in pixel coordinates (y down)."""
-    mask = ring_mask(ring, height, width)
+    """Run lengths of a ring's mask column by column, from zeros; the ring is in pixel coordinates (y down).
 
-    @F.arrow_udf("array<bigint>")
-    def run(masks: pa.Array) -> pa.Array:
-        flags = np.asarray(masks.flatten()).reshape(len(masks), height, width).transpose(0, 2, 1).reshape(len(masks), -1)
+    One mask is held at a time, and none leaves the task.
+    """
+
+    @F.pandas_udf("array<bigint>")
+    def run(rings: pd.Series) -> pd.Series:
         out = []
-        for flat in flags:
-            cuts = np.flatnonzero(np.diff(flat)) + 1
-            out.append(np.diff(np.r_[0, cuts, len(flat)]) if not flat[0] else np.r_[0, np.diff(np.r_[0, cuts, len(flat)])])
-        return pa.array(out, pa.list_(pa.int64()))
+        for points in rings:
+            flat = _inside(points, height, width).T.ravel()
+            runs = np.diff(np.r_[0, np.flatnonzero(flat[1:] != flat[:-1]) + 1, len(flat)])
+            out.append(np.r_[0, runs] if flat[0] else runs)
+        return pd.Series(out)
 
-    return run(mask)
+    return run(ring)
 
 
 def column_major(px: Column, height: int, width: int) -> Column:
