@@ -254,12 +254,13 @@ def column_major(px: Column, height: int, width: int) -> Column:
 
 
 def mosaic_strips(tiles: DataFrame, key: list[str], px: str, tile: int = 256) -> DataFrame:
-    """Tiles put together to strips, one for each row of tiles: key, row, width, px (row-major); missing tiles are 0.
+    """Tiles put together to strips, one for each row of tiles: key, row, left, width, filled, px (row-major).
 
-    A strip is the largest piece of a mosaic that is held at once.
+    left is the mosaic's first column of tiles, and filled has the offsets in the strip at which there is a tile; where there
+    is none the pixels are 0. A strip is the largest piece of a mosaic that is held at once.
     """
-    laid = mosaic(tiles, key, tile)
-    grouped = laid.groupBy(*key, "row", "width").agg(F.sort_array(F.collect_list(F.struct("off_x", px))).alias("_t"))
+    laid = mosaic(tiles, key, tile).withColumn("left", F.col("col") - F.expr(f"off_x div {tile}"))
+    grouped = laid.groupBy(*key, "row", "left", "width").agg(F.sort_array(F.collect_list(F.struct("off_x", px))).alias("_t"))
 
     @F.pandas_udf("array<int>")
     def run(parts: pd.Series, widths: pd.Series) -> pd.Series:
@@ -271,7 +272,7 @@ def mosaic_strips(tiles: DataFrame, key: list[str], px: str, tile: int = 256) ->
             out.append(strip.ravel())
         return pd.Series(out)
 
-    return grouped.select(*key, "row", "width", run("_t", "width").alias(px))
+    return grouped.select(*key, "row", "left", "width", F.array_distinct("_t.off_x").alias("filled"), run("_t", "width").alias(px))
 
 
 def vectorise(df: DataFrame, column: str, vector: Callable[[np.ndarray], np.ndarray], name: str = "v") -> DataFrame:
